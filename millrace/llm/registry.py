@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash, token_files, topk_search
+from . import decontaminate, html_text, packing, pii, quality, simhash, token_files, topk_search, toxicity
 
 QUERIES = {
     "op2_topk_search": topk_search.op2_topk_search,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_pii": pii.op5_pii,
+    "op6_html_text": html_text.op6_html_text,
+    "op7_packing": packing.op7_packing,
+    "op8_quality": quality.op8_quality,
     "op9_token_files": token_files.op9_token_files,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
