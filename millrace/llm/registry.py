@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, packing, pii, quality, simhash, token_files, topk_search, toxicity
+from . import decontaminate, html_text, packing, pii, quality, simhash, suffix_dedup, token_files, topk_search, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
