@@ -19,8 +19,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,8 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-_POINT = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: A run of ASCII punctuation after a letter, up to white space: a token boundary of its own.
+_POINT = re.compile(rb"(?<=[a-z])([!-&(-/:;=?@\[-`{}~]+)(?=[ \n]|$)")
 _encoders: dict[str, Callable] = {}
 
 
@@ -129,26 +131,24 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        known: dict[bytes, tuple[int, ...]] = {}
+        known: dict[bytes, bytes] = {}
 
         def encode(texts: list[str]) -> list[np.ndarray]:
-            if len(known) > 400_000:
+            if len(known) > 700_000:
                 known.clear()
             runs = []
             for text in texts:
                 raw = text.encode("utf-8", "surrogatepass")
-                if text.isascii() and b"<|" not in raw:
-                    raw = raw.lower()
-                if b"<|" not in raw:
-                    raw = _POINT.sub(rb" \1", raw)
+                if b"<|" not in raw:  # what could be a special token stays as it is
+                    raw = _POINT.sub(rb" \1", raw.lower())
                 runs.append(raw.split())
-            new = list({r for run in runs for r in run if r not in known})
+            new = list(set().union(*runs) - known.keys())
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
                 strings = [r.decode("utf-8", "replace") for r in part]
                 for r, e in zip(part, tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-                    known[r] = tuple(e.ids)
-            return [np.fromiter(chain.from_iterable(map(known.__getitem__, run)), dtype=np.uint32) for run in runs]
+                    known[r] = array("I", e.ids).tobytes()
+            return [np.frombuffer(b"".join(map(known.__getitem__, run)), dtype=np.uint32) for run in runs]
 
         _encoders[path] = encode
     return _encoders[path]
