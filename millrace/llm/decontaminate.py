@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 SEED = 5
 MIN_TILE = 5
 THRESHOLD = 0.6
@@ -205,7 +207,8 @@ def coverage(text: Column, spark: SparkSession, benchmark: DataFrame, block_toke
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text covers no item to THRESHOLD."""
     c = coverage(F.col("text"), docs.sparkSession, benchmark)
-    return docs.withColumn("_covered", c).filter(F.col("_covered.coverage") < THRESHOLD).drop("_covered")
+    (name,) = shared.fresh(docs, "_covered")
+    return docs.withColumn(name, c).filter(F.col(name)["coverage"] < THRESHOLD).drop(name)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ Detected entities (e-mail addresses, IPv4 addresses, telephone numbers, card and
 account numbers, secrets, and names after a title) get surrogates that a key decides: digits for digits,
 letters for letters, a name of the title's gender and of the name's script, in the layout and the case of
 the place where it stands. One entity has one surrogate in the whole corpus, however it is written there
-(punctuation of numbers, case of addresses). Distinct entities have distinct surrogates, and none is an
+(punctuation of numbers, case of addresses). Card numbers keep their check digit valid.
+Distinct entities have distinct surrogates, and none is an
 entity of the corpus: candidates that collide are drawn again, round by round, until none does.
 
 Texts without an entity pass through untouched and unshuffled. Of the others each distinct text is treated
 once; its digest joins the result back, a plain join that adaptive execution can split where copies are
-many. Null texts stay null and empty ones empty. Repeated rows stay repeated. Columns of other names stay.
+many. Null texts stay null and empty ones empty. Repeated rows stay repeated. Columns of other names stay;
+one named _n_entities is replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 _FEMALE, _MALE = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Señora|Sra|Г-жа|Госпожа", "Mr|Monsieur|Herr|Señor|Sr|Г-н|Господин"
 #: Kind and pattern (Java), in the order of precedence.
 PATTERNS = [
-    ("email", r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    # Looking back first, and bounded repeats, keep the time linear in very long words.
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"),
     ("ip", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb)[-_][0-9A-Za-z_-]{16,})(?![0-9A-Za-z])"),
+    ("secret", r"(?<=[=:\s\"'])(?<=(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[!-~&&[^\"'<>,;]]{6,}"),
+    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
     ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?:[0-9]{0,3})(?![0-9A-Za-z])"),
@@ -39,7 +44,7 @@ PATTERNS = [
     ("name", rf"(?<![\p{{L}}])(?:{_FEMALE}|{_MALE}|Dr|Prof)\.? {_NAME}"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-_HINT = rf"[@0-9]|(?:{_FEMALE}|{_MALE}|Dr|Prof)\.? "
+_HINT = rf"(?i:password|passwd|pwd|token|secret|key)|[@0-9]|(?:{_FEMALE}|{_MALE}|Dr|Prof)\.? "
 _TITLE = rf"^(?:{_FEMALE}|{_MALE}|Dr|Prof)\.? "
 
 
@@ -49,7 +54,8 @@ def detect(text: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    return reduce(lambda rest, kp: F.when(entity.rlike(f"^(?:{_bare(kp[1])})$"), kp[0]).otherwise(rest), reversed(PATTERNS), F.lit("secret"))
+    named = [kp for kp in PATTERNS if not kp[1].startswith("(?<=")]
+    return reduce(lambda rest, kp: F.when(entity.rlike(f"^(?:{_bare(kp[1])})$"), kp[0]).otherwise(rest), reversed(named), F.lit("secret"))
 
 
 def _bare(pattern: str) -> str:
@@ -69,7 +75,7 @@ def canonical(kind: Column, entity: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "name", F.concat(gender, F.lit(":"), name))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-        .when(kind.isin("email", "secret"), F.lower(entity))
+        .when(kind == "email", F.lower(entity))
         .otherwise(entity)
     )
 
@@ -94,6 +100,21 @@ def _redraw(like: Column, noise: Column) -> Column:
     return F.array_join(F.transform(F.split(like, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), at(d, i)).when(c.rlike(r"^\p{Ll}$"), at(a, i)).when(c.rlike(r"^\p{Lu}$"), F.upper(at(a, i))).otherwise(c)), "")
 
 
+def _check_digit(body: Column) -> Column:
+    """The Luhn digit that completes a string of digits."""
+    twice = lambda c, i: F.when(i % 2 == 1, c).when(c > 4, 2 * c - 9).otherwise(2 * c)
+    weighed = F.transform(F.transform(F.split(F.reverse(body), ""), lambda c: c.try_cast("int")), twice)
+    return F.pmod(-F.aggregate(weighed, F.lit(0), lambda a, c: a + c), F.lit(10)).cast("string")
+
+
+def _with_check(body: Column) -> Column:
+    return F.concat(body, _check_digit(body))
+
+
+def _luhn(number: Column) -> Column:
+    return _with_check(F.substring(number, F.lit(1), F.length(number) - 1)) == number
+
+
 _LATIN = ["ba", "del", "fi", "gar", "ho", "kem", "lu", "mir", "no", "pel", "ra", "sten", "to", "vin", "wa", "zor"]
 _CYRILLIC = ["ба", "дел", "фи", "гар", "хо", "кем", "лу", "мир", "но", "пел", "ра", "стен", "то", "вин", "ва", "зор"]
 _FIRST = {
@@ -131,15 +152,19 @@ def draw(kind: Column, canon: Column, attempt: Column) -> Column:
     more = F.substring(_letters(F.reverse(noise)), F.lit(1), F.greatest(attempt - 1, F.lit(0)))
     email = F.concat(_redraw(local, noise), more, F.lit("@"), F.substring(site, 1, 10), F.lit(".example.org"))
     phone = F.concat(F.substring(canon, 1, 1), F.substring(_digits(noise), F.lit(1), F.length(canon) - 1))
+    prefix = F.regexp_extract(canon, "^(AKIA|(?:sk|ghp|xoxb)[-_])?", 0)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(9), octet(17), octet(25)))
-        .when(kind.isin("phone", "card"), phone)
+        .when(kind == "phone", phone)
+        .when(kind == "card", F.when(_luhn(canon), _with_check(F.substring(phone, F.lit(1), F.length(canon) - 1))).otherwise(phone))
         .when(kind == "ssn", F.substring(_digits(noise), F.lit(1), F.length(canon)))
         .when(kind == "name", _name(canon, noise))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _redraw(F.substring(canon, F.lit(3), F.length(canon)), noise)))
-        .when(canon.rlike("^[0-9a-f]+$"), F.substring(noise, F.lit(1), F.length(canon)))
-        .otherwise(F.concat(F.regexp_extract(canon, "^(akia|sk[-_]|ghp[-_]|xoxb[-_])?", 0), F.substring(_redraw(canon, noise), F.length(F.regexp_extract(canon, "^(akia|sk[-_]|ghp[-_]|xoxb[-_])?", 0)) + 1, F.length(canon))))
+        .when(canon.rlike("^[0-9]{1,128}$"), F.substring(_digits(noise), F.lit(1), F.length(canon)))
+        .when(canon.rlike("^[0-9a-f]{1,128}$"), F.substring(noise, F.lit(1), F.length(canon)))
+        .when(canon.rlike("^[0-9A-F]{1,128}$"), F.upper(F.substring(noise, F.lit(1), F.length(canon))))
+        .otherwise(F.concat(prefix, F.substring(_redraw(canon, noise), F.length(prefix) + 1, F.length(canon))))
     )
 
 
@@ -174,7 +199,7 @@ def _render(kind: Column, entity: Column, surrogate: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), dealt("[0-9]", "[^0-9]"))
         .when(kind == "iban", dealt("[0-9A-Z]", "[^0-9A-Z]"))
         .when(kind == "name", F.concat(F.regexp_extract(entity, _TITLE, 0), F.substring(surrogate, F.lit(3), F.length(surrogate))))
-        .otherwise(F.when(upper, F.upper(surrogate)).otherwise(surrogate))
+        .otherwise(F.when(upper & (kind == "email"), F.upper(surrogate)).otherwise(surrogate))
     )
 
 
@@ -194,9 +219,11 @@ def pseudonymised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     put = F.zip_with(pieces, F.concat(F.col("shown.shown"), F.array(F.lit(""))), lambda p, s: F.concat(p, s))
     new = shared.written(texts.join(shown, "digest").select("digest", F.array_join(put, "").alias("_new"), F.size("shown").alias("_n")), "new")
     found = F.size(detect(F.col("text"))) > 0
-    plain = docs.filter(~F.coalesce(found, F.lit(False))).withColumn("_n_entities", F.lit(0))
-    changed = docs.filter(found).withColumn("digest_", F.sha2("text", 256)).join(new.withColumnRenamed("digest", "digest_"), "digest_")
-    changed = changed.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in columns], F.col("_n").alias("_n_entities"))
+    digest, text, n = shared.fresh(docs, "_digest", "_text", "_n")
+    own = [F.col(c) for c in columns if c.lower() != "_n_entities"]
+    plain = docs.filter(~F.coalesce(found, F.lit(False))).select(*own, F.lit(0).alias("_n_entities"))
+    changed = docs.filter(found).withColumn(digest, F.sha2("text", 256)).join(new.select(F.col("digest").alias(digest), F.col("_new").alias(text), F.col("_n").alias(n)), digest)
+    changed = changed.select(*[F.col(text).alias("text") if c == "text" else F.col(c) for c in columns if c.lower() != "_n_entities"], F.col(n).alias("_n_entities"))
     return plain.unionByName(changed), table
 
 

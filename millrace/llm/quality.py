@@ -133,14 +133,15 @@ def score(documents: DataFrame, labels: DataFrame, host: Column, path: Column) -
     """
     weights = fit(documents, labels)
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = documents.withColumn("_site", F.struct(name(host).alias("host"), name(path).alias("path")))
+    site, own, post = shared.fresh(documents, "_site", "_p", "_post")
+    rows = documents.withColumn(site, F.struct(name(host).alias("host"), name(path).alias("path")))
     p = evidence(F.col("text"), weights)
-    table, mean = sites(rows.select("_site.host", "_site.path", p.alias("p")))
-    table = shared.written(table.select(F.struct("host", "path").alias("_site"), "host_posterior", "path_posterior"), "sites")
-    out = rows.join(table, "_site").withColumn("_p", p)
-    odds = _logit(F.col("_p")) + _logit(F.col("path_posterior")) - _logit(F.lit(float(mean)))
-    result = F.struct(F.col("_p").alias("p_document"), "host_posterior", "path_posterior", (1 / (1 + F.exp(-odds))).alias("quality_score"))
-    return out.select(*documents.columns, result.alias("_quality"))
+    table, mean = sites(rows.select(F.col(site)["host"].alias("host"), F.col(site)["path"].alias("path"), p.alias("p")))
+    table = shared.written(table.select(F.struct("host", "path").alias(site), F.struct("host_posterior", "path_posterior").alias(post)), "sites")
+    out = rows.join(table, site).withColumn(own, p)
+    odds = _logit(F.col(own)) + _logit(F.col(post)["path_posterior"]) - _logit(F.lit(float(mean)))
+    result = F.struct(F.col(own).alias("p_document"), F.col(post)["host_posterior"].alias("host_posterior"), F.col(post)["path_posterior"].alias("path_posterior"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
+    return out.select(*[F.col(c) for c in documents.columns if c.lower() != "_quality"], result.alias("_quality"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

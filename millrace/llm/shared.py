@@ -50,6 +50,18 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Names like labels for helper columns that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for label in labels:
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        out.append(label)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -280,18 +280,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Of repeated rows with one doc_id a single one stays; a null doc_id comes last.
     """
     columns = docs.columns
-    rows = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    prints = shared.written(fingerprints(rows.select("_row", "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS), "fingerprints")
+    (row,) = shared.fresh(docs, "_row")
+    rows = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    prints = shared.written(fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS), "fingerprints")
     f = [f"f{i}" for i in range(WIDE_WORDS)]
     id_of = F.xxhash64(*f)
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
     distinct = shared.written(prints.groupBy(*f).agg(F.min(order).alias("first"), F.max("n").alias("n")).withColumn("id", id_of), "distinct")
     found = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
     of = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("component", "id").alias("c"), "first")
-    stay = shared.written(of.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")).distinct(), "stay")
-    kept = rows.join(stay, "_row", "left_semi")
-    # Rows with one id and one text share _row; one of them stays.
-    return kept.dropDuplicates(["_row"]).select(*columns)
+    stay = shared.written(of.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row)).distinct(), "stay")
+    kept = rows.join(stay, row, "left_semi")
+    # Rows with one id and one text share a number; one of them stays.
+    return kept.dropDuplicates([row]).select(*columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
