@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,17 @@ SEED = 5
 MIN_TILE = 5
 THRESHOLD = 0.6
 BLOCK_TOKENS = 2_000_000
-_WORD = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[^\x00-\x7f\w]+")
+_ASCII = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def tokens(text: str | None) -> list[bytes]:
+    """The runs of letters and digits, lower-cased, in UTF-8."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _OTHER.sub(" ", low)
+    return low.encode("utf-8", "surrogatepass").translate(_ASCII).split()
 
 
 def _windows(x: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]:
@@ -98,7 +104,7 @@ class Index:
     """A block of the benchmark: its vocabulary, its seeds and its items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         seeds: dict[tuple[int, ...], list[int]] = defaultdict(list)
         short = defaultdict(list)
@@ -113,37 +119,40 @@ class Index:
             for run in {tuple(x[i : i + SEED]) for i in range(len(x) - SEED + 1)}:
                 seeds[run].append(k)
         self.seeds, self.short = dict(seeds), dict(short)
-        self.hashes = np.unique(np.array([self._hash(np.array(s, np.uint64)[:, None], SEED)[0] for s in self.seeds], np.uint64))
+        # One byte for each of at least 32 times as many places as there are seeds; hits are looked up.
+        self.shift = np.uint32(32 - min(28, max(10, (32 * len(self.seeds)).bit_length())))
+        self.table = np.zeros(1 << (32 - int(self.shift)), bool)
+        for run in self.seeds:
+            self.table[self._hash(np.array(run, np.uint32)) >> self.shift] = True
 
     @staticmethod
-    def _hash(columns: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(columns.shape[1], np.uint64)
-        for j in range(n):
-            h = (h ^ columns[j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+    def _hash(x: np.ndarray) -> np.ndarray:
+        """The Karp-Rabin hash of each run of SEED tokens, mixed."""
+        n = len(x) - SEED + 1
+        h = x[:n].copy()
+        for j in range(1, SEED):
+            h *= np.uint32(0x01000193)
+            h += x[j : j + n]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x9E3779B1)
         return h
 
     def best(self, text: str | None) -> tuple[float, int | None, int]:
         """The highest coverage, its item and the tokens tiled of it."""
-        get = self.vocabulary.get
-        doc = [get(w, 0) for w in tokens(text)]
+        words = tokens(text)
+        x = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint32, len(words))
         near: dict[int, list[int]] = defaultdict(list)
-        x = np.array(doc, dtype=np.uint64)
-        n = len(x) - SEED + 1
-        if n > 0 and len(self.hashes):
-            known = np.concatenate([[0], np.cumsum(x > 0)])
-            at = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
-            if len(at):
-                h = self._hash(np.stack([x[at + j] for j in range(SEED)]), SEED)
-                for i in at[np.isin(h, self.hashes)]:
-                    for k in self.seeds.get(tuple(doc[i : i + SEED]), ()):
-                        near[k].append(int(i))
+        if len(x) >= SEED and self.seeds:
+            for i in np.flatnonzero(self.table[self._hash(x) >> self.shift]).tolist():
+                for k in self.seeds.get(tuple(x[i : i + SEED].tolist()), ()):
+                    near[k].append(i)
         for run, ks in self.short.items():
             m = len(run)
-            places = [i for i in np.flatnonzero(x == run[0]) if tuple(doc[i : i + m]) == run]
-            for k in ks:
-                near[k] += [int(i) for i in places]
+            places = [i for i in np.flatnonzero(x == run[0]).tolist() if tuple(x[i : i + m].tolist()) == run]
+            for k in ks if places else ():
+                near[k] += places
         best: tuple[float, int | None, int] = (0.0, None, 0)
+        doc = x.tolist() if near else []
         for k, places in sorted(near.items(), key=lambda kv: self.items[kv[0]][0]):
             item_id, item = self.items[k]
             # Only around seeds can there be tiles; unknown tokens part the pieces.
