@@ -15,7 +15,6 @@ columns are ignored. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -116,8 +115,9 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-#: A run of ASCII punctuation after a letter, up to white space: a token boundary of its own.
-_POINT = re.compile(rb"(?<=[a-z])([!-&(-/:;=?@\[-`{}~]+)(?=[ \n]|$)")
+#: ASCII punctuation (but the apostrophe) after a letter is a token boundary.
+_POINTS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+KNOWN_RUNS = 1_000_000
 _encoders: dict[str, Callable] = {}
 
 
@@ -134,20 +134,33 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         known: dict[bytes, bytes] = {}
 
         def encode(texts: list[str]) -> list[np.ndarray]:
-            if len(known) > 700_000:
-                known.clear()
             runs = []
             for text in texts:
                 raw = text.encode("utf-8", "surrogatepass")
                 if b"<|" not in raw:  # what could be a special token stays as it is
-                    raw = _POINT.sub(rb" \1", raw.lower())
+                    raw = raw.lower()
                 runs.append(raw.split())
-            new = list(set().union(*runs) - known.keys())
+            used = set().union(*runs)
+            if len(known) > KNOWN_RUNS:  # what is in use stays
+                kept = {r: known[r] for r in used if r in known}
+                known.clear()
+                known.update(kept)
+            pointed, new = [], set()
+            for r in used.difference(known):
+                base = r.rstrip(_POINTS)
+                if base and len(base) < len(r) and 97 <= base[-1] <= 122 and b"<" not in r:
+                    pointed.append((r, base, r[len(base) :]))
+                    new.update(pointed[-1][1:])
+                else:
+                    new.add(r)
+            new = list(new.difference(known))
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
                 strings = [r.decode("utf-8", "replace") for r in part]
                 for r, e in zip(part, tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
                     known[r] = array("I", e.ids).tobytes()
+            for r, base, tail in pointed:
+                known[r] = known[base] + known[tail]
             return [np.frombuffer(b"".join(map(known.__getitem__, run)), dtype=np.uint32) for run in runs]
 
         _encoders[path] = encode
