@@ -7,9 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import portable
+from .plans import analytics, portable
 from .sources.tables import run_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {k: partial(run_sql, text=v) for k, v in portable.SQL.items()}
-ORACLE: dict[str, str] = dict(portable.ORACLE)
+QUERIES: dict[str, Query] = {k: partial(run_sql, text=v) for k, v in portable.SQL.items()} | analytics.QUERIES
+ORACLE: dict[str, str] = portable.ORACLE | analytics.ORACLE
