@@ -213,8 +213,10 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
     base = math.log(1 / similarity)
     rows = distinct.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / base + 1e-9).cast("int"))
     sizes = {r.c: r["count"] for r in rows.groupBy("c").count().collect()}  # one row for each size class
+    if not sizes:
+        return spark.createDataFrame([], "a long, b long")
     tiles = {c: -(-n // WIDE_TILE) for c, n in sizes.items()}
-    of_class = F.create_map(*[F.lit(x) for c, n in tiles.items() for x in (c, n)]) if tiles else F.lit(None)
+    of_class = F.create_map(*[F.lit(x) for c, n in tiles.items() for x in (c, n)])
     pairs = [
         (c, t, d, u)
         for c, n in tiles.items()
@@ -232,8 +234,6 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
         return pa.table({"c": [key[0].as_py()], "t": [key[1].as_py()], "ids": [ids.tobytes()], "f": [a.tobytes()]}, schema=pa.schema([("c", pa.int32()), ("t", pa.int32()), ("ids", pa.binary()), ("f", pa.binary())]))
 
     packed = shared.written(rows.groupBy("c", "t").applyInArrow(pack, "c int, t int, ids binary, f binary"), "tiles")
-    if not pairs:
-        return spark.createDataFrame([], "a long, b long")
     plan = spark.createDataFrame(pairs, "c int, t int, d int, u int")
     other = packed.select(F.col("c").alias("d"), F.col("t").alias("u"), F.col("ids").alias("ids2"), F.col("f").alias("f2"))
     met = plan.join(packed, ["c", "t"]).join(other, ["d", "u"]).select("c", "t", "d", "u", "ids", "f", "ids2", "f2")

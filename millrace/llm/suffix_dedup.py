@@ -343,7 +343,7 @@ def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     groups = groups.repartition(shared.shuffle_partitions(spark), "h").sortWithinPartitions("h")
     of_ranges = groups.mapInArrow(sort, "h long, whole long, first int, n int")
 
-    # Single windows of the crowded anchors: counted by their hash and by that of their range alike.
+    # Single windows of the crowded anchors: equal ones have one anchor, so its hash and theirs are 128 bits.
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -357,8 +357,8 @@ def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     windows = pieces.filter("hot").select("h", "whole", "weight", "n", "bytes").mapInArrow(single, "h long, whole long, i long, w long, weight long")
     windows = shared.written(windows, "windows")
-    twice = shared.written(windows.groupBy("w").agg(F.sum("weight").alias("c")).filter("c > 1").select("w"), "twice")
-    of_windows = windows.join(twice, "w").select("h", "whole", F.col("i").cast("int").alias("first"), F.lit(1).alias("n"))
+    twice = shared.written(windows.groupBy("h", "w").agg(F.sum("weight").alias("c")).filter("c > 1").select("h", "w"), "twice")
+    of_windows = windows.join(twice, ["h", "w"]).select("h", "whole", F.col("i").cast("int").alias("first"), F.lit(1).alias("n"))
     marks = shared.written(of_ranges.unionByName(of_windows), "marks")
     back = own.filter("not one").select("h", "whole", "row", "start").join(marks, ["h", "whole"])
     return done.unionByName(back.select("row", (F.col("start") + F.col("first")).alias("first"), "n"))
