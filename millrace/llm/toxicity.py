@@ -1,11 +1,13 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 Documents carry the labels, tokens don't, so token labels are made first. On a bounded sample of labelled
-rows, each word's number of different contexts (its neighbours) in toxic documents is tested against that
-in clean ones; a copied passage counts once, however often it was copied. A word that passes is labelled
-toxic where it occurs in a toxic document, and clean in a clean one. The field (a weight for each word
-that passed, one for all others, transitions between the tags) is fitted to windows around those words by
-gradient ascent on its log-likelihood.
+rows, beginnings of words (STEM letters or more, the whole word included, so that inflected forms count
+together) that stand in toxic documents mostly are candidates. The number of different contexts (the word's
+neighbours) of each in toxic documents is tested against that in clean ones; a copied passage counts once,
+however often it was copied. Of nested beginnings the one with the best test stays, the longest of equal
+ones. A word with a beginning that passed is labelled toxic in a toxic document, and clean in a clean one.
+The field (a weight for each beginning, one for all other words, transitions between the tags) is fitted to
+windows around those words by gradient ascent on its log-likelihood.
 
 Scoring reads whole texts. Tokens between two words of the vocabulary all have the same factor, so the
 forward and backward passes cross them by a power of one matrix; the marginals are those of the whole
@@ -21,8 +23,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 TOXIC_ROWS, CLEAN_ROWS, VOCABULARY = 3000, 6000, 1000
 _WORD = re.compile(r"[^\W_]+")
 _HALF = 5
+#: Beginnings of words have at least this many letters, at most the second number, or are whole words.
+STEM, STEM_MOST = 4, 12
 
 
 @dataclass
@@ -45,14 +51,36 @@ class Model:
     score: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0.0, 0.0]))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _beginnings(word: str) -> list[str]:
+    return [word[:n] for n in range(STEM, min(len(word), STEM_MOST + 1))] + [word[:64]]
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, t, n) of each beginning: toxic documents and all documents with it; of "": contexts instead."""
     for batch in batches:
-        rows = set()
+        both: tuple[Counter, Counter] = (Counter(), Counter())
+        contexts: tuple[set, set] = (set(), set())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = _WORD.findall((text or "").lower())
-            rows.update(zip(w, ["", *w[:-1]], [*w[1:], ""], [toxic] * len(w)))
-        a, b, c, d = zip(*rows) if rows else ([], [], [], [])
-        yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int32())], names=["w", "before", "after", "toxic"])
+            contexts[toxic].update(map(hash, zip(w, ["", *w[:-1]], [*w[1:], ""])))
+            both[toxic].update(set(chain.from_iterable(map(_beginnings, set(w)))))
+        keys = ["", *(both[0].keys() | both[1].keys())]
+        both[0][""], both[1][""] = len(contexts[0]), len(contexts[1])
+        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([both[1][k] for k in keys], pa.int64()), pa.array([both[0][k] + both[1][k] for k in keys], pa.int64())], names=["w", "t", "n"])
+
+
+def _contexts_of(candidates: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = _WORD.findall((text or "").lower())
+                wanted = {x: own for x in set(w) if (own := candidates.intersection(_beginnings(x)))}
+                rows.update((k, before, after, toxic) for x, before, after in zip(w, ["", *w[:-1]], [*w[1:], ""]) for k in wanted.get(x, ()))
+            a, b, c, d = zip(*rows) if rows else ([], [], [], [])
+            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int32())], names=["w", "before", "after", "toxic"])
+
+    return run
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -64,19 +92,28 @@ def _tail(k: int, n: int, p: float) -> float:
 
 
 def vocabulary(sample: DataFrame) -> list[str]:
-    """The words of sample (text, toxic) that mark toxic documents."""
-    words = sample.select("text", "toxic").mapInArrow(_contexts, "w string, before string, after string, toxic int").distinct()
+    """The beginnings of words of sample (text, toxic) that mark toxic documents; none begins with another."""
+    rows = sample.select("text", "toxic")
+    counts = rows.mapInArrow(_document_counts, "w string, t long, n long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    share = rows.agg(F.avg("toxic")).first()[0]
+    if not share or share == 1:
+        return []
+    first = counts.filter((F.col("w") == "") | ((F.col("t") >= 2) & (F.col("t") / F.col("n") > (1 + share) / 2)))
+    found = first.orderBy(F.col("w") != "", F.desc("t"), "w").limit(20 * VOCABULARY + 1).collect()
+    if not found or found[0].w or not 0 < found[0].t < found[0].n:
+        return []
+    p = found[0].t / found[0].n
+    contexts = rows.mapInArrow(_contexts_of(frozenset(r.w for r in found[1:])), "w string, before string, after string, toxic int").distinct()
     toxic = F.col("toxic") == 1
     # An edit in one of many copies changes the neighbours on one side only, so both sides must differ.
     side = F.least(F.countDistinct(F.when(toxic, F.col("before"))), F.countDistinct(F.when(toxic, F.col("after"))))
-    counts = words.groupBy("w").agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n"), side.alias("side"))
-    total = counts.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
-    if not total.n or not total.t or total.t == total.n:
-        return []
-    p = total.t / total.n
-    rows = counts.filter((F.col("side") >= 6) & (F.col("t") / F.col("n") > (1 + p) / 2)).orderBy(F.desc("t"), "w").limit(20 * VOCABULARY).collect()
-    found = [(_tail(r.t, r.n, p), r.w) for r in rows]
-    return [w for s, w in sorted(found) if s < math.log(1e-6)][:VOCABULARY]
+    tested = contexts.groupBy("w").agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n"), side.alias("side"))
+    passed = tested.filter((F.col("side") >= 6) & (F.col("t") / F.col("n") > (1 + p) / 2)).collect()
+    best: list[str] = []
+    for s, _, w in sorted((_tail(r.t, r.n, p), -len(r.w), r.w) for r in passed):
+        if s < math.log(1e-6) and len(best) < VOCABULARY and not any(w.startswith(x) or x.startswith(w) for x in best):
+            best.append(w)
+    return best
 
 
 def _passes(emit: np.ndarray, moves: np.ndarray, begin: np.ndarray):
@@ -128,7 +165,7 @@ def fit_field(windows: np.ndarray, tags: np.ndarray, n_words: int, rounds: int =
 
 
 class Tagger:
-    """Finds the vocabulary's words in whole texts and computes their marginals."""
+    """Finds words that begin as the vocabulary says in whole texts and computes their marginals."""
 
     def __init__(self, model: Model) -> None:
         import ahocorasick
@@ -156,8 +193,10 @@ class Tagger:
         out, last = [], 0
         for end, i in self.automaton.iter(low):
             start = end - len(self.model.words[i]) + 1
-            if (start and low[start - 1].isalnum()) or (end + 1 < len(low) and low[end + 1].isalnum()):
+            if start and low[start - 1].isalnum():
                 continue
+            while end + 1 < len(low) and low[end + 1].isalnum():  # to the end of the word
+                end += 1
             gap = low.count(" ", last, start) + low.count("\n", last, start)
             out.append((i, gap, start, end + 1))
             last = start
@@ -218,12 +257,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         return Model()
     number = {w: i for i, w in enumerate(words)}
     other = len(words)
+    lengths = sorted({len(w) for w in words})
+    number_of = lambda word: next((number[word[:n]] for n in lengths if word[:n] in number), other)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, tags = set(), []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = [number.get(x, other) for x in _WORD.findall((text or "").lower())]
+                w = [number_of(x) for x in _WORD.findall((text or "").lower())]
                 w = [other] * _HALF + w + [other] * _HALF
                 at = {i for i, x in enumerate(w) if x != other} | {_HALF + 7 * (len(w) // 9)}
                 for i in at:
