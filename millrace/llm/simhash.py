@@ -12,7 +12,9 @@ Two ways to find all pairs of distinct fingerprints within a radius, both exact:
   in any such pair, so only fingerprints that share a band are compared.
 * ``link_wide`` for several words and a wide radius, where bands can't help. Fingerprints are dealt into
   size classes by their number of shingles; a similarity of at least s needs sizes within that ratio,
-  so a class meets itself and its neighbour. All tiles of such classes are compared.
+  so a class meets itself and its neighbour. All tiles of such classes are compared. ``keep_one`` takes
+  these links as candidates only: fingerprints and sizes are then of distinct shingles, and
+  ``link_similar`` links a pair once the similarity of its shingle sets is computed.
 
 In both, tiles are sorted by population count and a pair of tiles whose counts differ beyond the radius
 is skipped. A tile gives a spanning forest of its links, never all pairs, and a band or class with many
@@ -74,20 +76,27 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1) -> DataFrame:
-    """The columns keep, f0 .. (the fingerprint's words, as longs) and n (the number of shingles)."""
-    fields = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(words)] + ["n long"])
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1, sets: bool = False) -> DataFrame:
+    """The columns keep, f0 .. (the fingerprint's words, as longs), n (the number of shingles) and s.
+
+    With sets, each shingle counts once and s is the sorted hashes as bytes; without, s is null.
+    """
+    fields = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(words)] + ["n long", "s binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, n = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int64)
+            own = [b"" if sets else None] * batch.num_rows
             for i, text in enumerate(batch.column(len(keep))):
                 t = text.as_py()
                 if t:
                     h = _hashes(t.encode("utf-8", "surrogatepass"), shingle)
+                    if sets:
+                        h = np.unique(h)
+                        own[i] = h.tobytes()
                     found[i], n[i] = fingerprint(h, words), len(h)
             columns = [batch.column(j) for j in range(len(keep))] + [pa.array(found[:, j].copy().view(np.int64)) for j in range(words)]
-            yield pa.record_batch([*columns, pa.array(n)], names=[*keep, *[f"f{j}" for j in range(words)], "n"])
+            yield pa.record_batch([*columns, pa.array(n), pa.array(own, pa.binary())], names=[*keep, *[f"f{j}" for j in range(words)], "n", "s"])
 
     return docs.select(*keep, "text").mapInArrow(run, fields)
 
@@ -96,7 +105,7 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[
     """Links within a tile (b None) or between two, as index pairs into a, or into a and b.
 
     a and b are (n, words). Rows go by population count in strips; strips whose counts differ by more
-    than the radius aren't compared. The further words are compared only where the first are close.
+    than the radius aren't compared.
     """
     same = b is None
     b = a if same else b
@@ -104,7 +113,6 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[
     oa, ob = np.argsort(pop_a, kind="stable"), np.argsort(pop_b, kind="stable")
     sa, sb, pa_, pb_ = a[oa], b[ob], pop_a[oa].astype(np.int64), pop_b[ob].astype(np.int64)
     strip = 128
-    first_radius = radius if a.shape[1] == 1 else min(64, radius)
     for at in range(0, len(sa), strip):
         rows = slice(at, at + strip)
         low = np.searchsorted(pb_, pa_[at] - radius)
@@ -113,11 +121,10 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[
             low = max(low, at)
         if low >= high:
             continue
-        near = np.bitwise_count(sa[rows, 0][:, None] ^ sb[low:high, 0][None]) <= first_radius
-        i, j = np.nonzero(near)
-        if a.shape[1] > 1 and len(i):
-            far = np.bitwise_count(sa[at + i] ^ sb[low + j]).sum(1) <= radius
-            i, j = i[far], j[far]
+        apart = np.bitwise_count(sa[rows, 0][:, None] ^ sb[low:high, 0][None])
+        for w in range(1, a.shape[1]):
+            apart = np.add(apart, np.bitwise_count(sa[rows, w][:, None] ^ sb[low:high, w][None]), dtype=np.uint16)
+        i, j = np.nonzero(apart <= radius)
         i, j = oa[at + i], ob[low + j]
         if same:
             i, j = i[i != j], j[i != j]
@@ -211,6 +218,7 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
     """Edges (a, b) between the ids of distinct (id, f0 .., n) whose fingerprints are within radius."""
     spark = distinct.sparkSession
     base = math.log(1 / similarity)
+    four = math.floor(math.log(4) / base + 1e-9)
     rows = distinct.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / base + 1e-9).cast("int"))
     sizes = {r.c: r["count"] for r in rows.groupBy("c").count().collect()}  # one row for each size class
     if not sizes:
@@ -247,7 +255,9 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
                     yield _edge_batch([_links(ids, a, None, None, radius)])
                 else:
                     ids2, b = np.frombuffer(r["ids2"], np.int64), np.frombuffer(r["f2"], np.uint64).reshape(-1, words)
-                    yield _edge_batch([_links(ids, a, ids2, b, radius)])
+                    # Sets of four and of five shingles of which four are common differ in 48 bits on average.
+                    far = FOUR_RADIUS if (r["c"], r["d"]) == (four, four + 1) else radius
+                    yield _edge_batch([_links(ids, a, ids2, b, far)])
 
     return met.mapInArrow(run, "a long, b long")
 
@@ -257,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
     component_id is the smallest doc_id that links reach, the row's own included.
     """
-    rows = shared.written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], shingle), "fingerprints")
+    rows = shared.written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], shingle).drop("s"), "fingerprints")
     distinct = shared.written(rows.groupBy("f0").agg(F.min("doc_id").alias("least")), "distinct")
     found = shared.components(link_close(distinct, radius))
     of = distinct.join(found, distinct.f0 == found.node, "left").select("f0", "least", F.coalesce("component", "f0").alias("c"))
@@ -267,27 +277,90 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of 256 bits, texts with a similarity of 0.8 on their shingles differ in 38.8 on average, with a
-#: deviation of 5.7; texts that share nothing in 128, with one of 8.
-WIDE_WORDS, WIDE_RADIUS = 4, 45
+#: Of 256 bits, large sets with a similarity of 0.8 differ in 38.8 on average, with a deviation of 5.7;
+#: sets that share nothing in 128, with one of 8. Five of six shingles: 40 bits, deviation 5.8; four of
+#: five: 48, 6.2, with a radius of its own. So each radius is 4.8 deviations or more above such pairs: a
+#: candidate is found with a probability of over 0.99999 by the normal approximation.
+WIDE_WORDS, WIDE_RADIUS, FOUR_RADIUS = 4, 68, 80
+#: Rows, and shingles, of a tile whose sets are compared.
+SET_TILE, SET_SHINGLES = 256, 1 << 19
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have at least that share of their union in common."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both) >= similarity
+
+
+def link_similar(members: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between the ids of members (c, id, f0 .., n, s) of one c whose sets are similar.
+
+    Only pairs within radius are computed, and of these only such as no links connect yet. The members
+    of one c are dealt into tiles, each pair of tiles a key of its own.
+    """
+    f = [f"f{i}" for i in range(words)]
+    sizes = members.groupBy("c").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    tiles = F.greatest(F.ceil(F.col("count") / SET_TILE), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
+    rows = members.join(sizes.select("c", tiles.alias("tiles")), "c")
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("c", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), (F.col("t") > F.col("o")).alias("second"), "id", *f, "s")
+    rows = rows.repartition(shared.shuffle_partitions(members.sparkSession), "c", "i", "j").sortWithinPartitions("c", "i", "j")
+
+    def linked(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        forest = shared.Forest()
+        parts = [[r for r in held if r[0] == second] for second in (False, True)]
+        one, two = parts if key[1] != key[2] else (held, None)
+        if one and (two is None or two):
+            a = np.array([r[2] for r in one], np.int64).view(np.uint64)
+            b = None if two is None else np.array([r[2] for r in two], np.int64).view(np.uint64)
+            two = two or one
+            for i, j in compare_tiles(a, b, radius):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = one[x], two[y]
+                    if forest.find(p[1]) != forest.find(q[1]) and similar(p[3], q[3], similarity):
+                        forest.join(p[1], q[1])
+        return _edge_batch([forest])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = (r["c"], r["i"], r["j"])
+                if key != now and held:
+                    yield linked(now, held)
+                    held = []
+                now = key
+                held.append((r["second"], r["id"], [r[x] for x in f], np.frombuffer(r["s"], np.uint64)))
+        if held:
+            yield linked(now, held)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one of each group of near-duplicates: the one with the smallest doc_id.
 
-    Near-duplicates are texts whose 256-bit fingerprints are within WIDE_RADIUS and whose sizes are
-    within the ratio of neighbouring classes, or that links connect. Texts without words are one group.
+    Near-duplicates are texts whose sets of shingles have at least that similarity (common ones of all),
+    or that such pairs connect. Fingerprints only find the candidates. Texts without words are one group.
     Of repeated rows with one doc_id a single one stays; a null doc_id comes last.
     """
     columns = docs.columns
     (row,) = shared.fresh(docs, "_row")
     rows = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    prints = shared.written(fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS), "fingerprints")
     f = [f"f{i}" for i in range(WIDE_WORDS)]
-    id_of = F.xxhash64(*f)
+    prints = fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS, sets=True)
+    prints = shared.written(prints.withColumn("id", F.xxhash64("s")).drop("s"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
-    distinct = shared.written(prints.groupBy(*f).agg(F.min(order).alias("first"), F.max("n").alias("n")).withColumn("id", id_of), "distinct")
-    found = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
+    distinct = shared.written(prints.groupBy("id", *f, "n").agg(F.min(order).alias("first")), "distinct")
+    near = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
+    near = shared.written(near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", F.col("first._row").alias("_row")), "id"), "near")
+    # The sets of candidates alone are computed again, rather than all sets written.
+    texts = rows.select(F.col(row).alias("_row"), "text").join(near, "_row").dropDuplicates(["id"]).select("c", "id", "text")
+    members = shared.written(fingerprints(texts, ["c", "id"], shingle, WIDE_WORDS, sets=True), "members")
+    found = shared.components(link_similar(members, WIDE_WORDS, FOUR_RADIUS, similarity))
     of = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("component", "id").alias("c"), "first")
     stay = shared.written(of.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row)).distinct(), "stay")
     kept = rows.join(stay, row, "left_semi")

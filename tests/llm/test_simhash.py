@@ -89,3 +89,30 @@ def test_keep_one_of_each_group(spark):
     got = simhash.keep_one(docs)
     assert got.columns == ["doc_id", "text", "_c"]
     assert sorted(r.doc_id for r in got.collect()) == [*range(20), 60]
+
+
+def test_keep_one_links_by_the_similarity_of_shingle_sets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", 8)
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(vocab[i : i + n]) for i, n in ((0, 8), (0, 9), (100, 9), (100, 10), (200, 12), (200, 14))]
+    for size in (30, 60, 300):
+        for at in range(24):
+            base = list(rng.choice(vocab, size))
+            texts.append(" ".join(base))
+            for _ in range(3):  # changed at the end, for similarities from 0.6 to 0.9
+                cut = int(rng.integers(size // 20, size // 4 + 1))
+                texts.append(" ".join(base[:-cut] + list(rng.choice(vocab, cut))))
+    texts += ["again and again it goes on " * 80 + t for t in texts[-2:]]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    near = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        near += 0.6 <= s < 0.9
+        if s >= 0.8:
+            label = [label[i] if x == label[j] else x for x in label]
+    least = sorted(min(i for i, x in enumerate(label) if x == c) for c in set(label))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert near > 50
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == least
