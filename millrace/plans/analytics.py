@@ -289,7 +289,7 @@ _EDGES = "SELECT row_number() OVER (ORDER BY t, a, b) AS edge_id, CAST(a AS BIGI
 
 def _edges(spark, sf):
     n = load(spark, sf, "nation").select(F.lit("in").alias("t"), (1000 + F.col("n_nationkey")).cast("long").alias("a"), (2000 + F.col("n_regionkey")).cast("long").alias("b"))
-    c = load(spark, sf, "customer").filter("c_custkey <= 60").select(F.lit("lives").alias("t"), (10000 + F.col("c_custkey")).cast("long").alias("a"), (1000 + F.col("c_nationkey")).cast("long").alias("b"))
+    c = load(spark, sf, "customer").select(F.lit("lives").alias("t"), (10000 + F.col("c_custkey")).cast("long").alias("a"), (1000 + F.col("c_nationkey")).cast("long").alias("b"))
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.lit(1)).orderBy("t", "a", "b")
