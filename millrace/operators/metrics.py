@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,24 @@ def freshness(tables: Mapping[str, tuple[DataFrame, str]], now: str) -> DataFram
 def alerts(states: DataFrame, consecutive: int, cooldown: int) -> DataFrame:
     """Fires of states (rule, at long, failing): one in an episode, at its consecutive-th failure, cooldown apart.
 
-    Episodes are gaps and islands; a fire within cooldown of the episode before that fired is left out.
+    Episodes are gaps and islands; a fire within cooldown of the last one that fired is left out. A candidate
+    at least cooldown after the candidate before it always fires, so each chain of closer ones is folded alone.
     """
     w = Window.partitionBy("rule").orderBy("at")
     run = states.withColumn("island", F.sum((~F.col("failing")).cast("int")).over(w)).filter("failing")
     run = run.withColumn("n", F.row_number().over(Window.partitionBy("rule", "island").orderBy("at"))).filter(F.col("n") == consecutive)
     gap = F.col("at") - F.lag("at").over(w)
-    return run.withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") >= cooldown)).select("rule", "at")
+    starts = F.coalesce(gap >= cooldown, F.lit(True))
+    run = run.select("rule", F.col("at").cast("long").alias("at"), starts.alias("starts")).withColumn("chain", F.sum(F.col("starts").cast("int")).over(w))
+    run = run.repartition("rule", "chain").sortWithinPartitions("rule", "chain", "at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keep = []
+            for at, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                keep.append(start or at - last >= cooldown)
+                last = at if keep[-1] else last
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run.mapInArrow(fold, run.select("rule", "at").schema)

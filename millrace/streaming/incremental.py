@@ -53,7 +53,7 @@ def fires(states: DataFrame, consecutive: int, cooldown: int) -> DataFrame:
                 fired = True
                 if at - last >= cooldown:
                     out.append((key[0], at))
-                last = at
+                    last = at
         state.update((int(run), bool(fired), int(last)))
         yield pd.DataFrame(out, columns=["rule", "at"])
 
