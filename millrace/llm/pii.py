@@ -6,7 +6,9 @@ letters for letters, a name of the title's gender and of the name's script, in t
 the place where it stands. One entity has one surrogate in the whole corpus, however it is written there
 (punctuation of numbers, case of addresses). Card numbers keep their check digit valid.
 Distinct entities have distinct surrogates, and none is an
-entity of the corpus: candidates that collide are drawn again, round by round, until none does.
+entity of the corpus: candidates that collide are drawn again, round by round, until none does. Where short
+entities have few forms, later rounds draw longer ones: e-mail addresses and names from the second round on,
+telephone numbers and secrets from round SAME_LENGTH on.
 
 Texts without an entity pass through untouched and unshuffled. Of the others each distinct text is treated
 once; its digest joins the result back, a plain join that adaptive execution can split where copies are
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 KEY = "millrace"
-ROUNDS = 24
+ROUNDS, SAME_LENGTH = 24, 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 _FEMALE, _MALE = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Señora|Sra|Г-жа|Госпожа", "Mr|Monsieur|Herr|Señor|Sr|Г-н|Господин"
@@ -127,8 +129,11 @@ _FIRST_CYRILLIC = {
 }
 
 
-def _name(canon: Column, noise: Column) -> Column:
-    """As many words as the name has: a first name of its gender if there are two, and a family name."""
+def _name(canon: Column, noise: Column, attempt: Column) -> Column:
+    """As many words as the name has: a first name of its gender if there are two, and a family name.
+
+    The family name has a syllable more with each attempt.
+    """
     gender, name = F.substring(canon, 1, 1), F.substring(canon, F.lit(3), F.length(canon))
     cyrillic = name.rlike(r"\p{IsCyrillic}")
     nibble = lambda i: F.conv(F.substring(noise, i, 1), 16, 10).cast("int")
@@ -136,7 +141,9 @@ def _name(canon: Column, noise: Column) -> Column:
     family = lambda parts, at: F.initcap(F.concat(*[pick(parts, at + j) for j in range(4)]))
     by_gender = lambda first: F.when(gender == "f", pick(first["f"], 1)).when(gender == "m", pick(first["m"], 1)).otherwise(F.when(nibble(2) < 8, pick(first["f"], 1)).otherwise(pick(first["m"], 1)))
     words = F.size(F.split(name, " "))
-    one = F.when(cyrillic, family(_CYRILLIC, 5)).otherwise(family(_LATIN, 5))
+    syllable = lambda parts: lambda h: F.element_at(F.array(*[F.lit(x) for x in parts]), F.conv(h, 16, 10).cast("int") + 1)
+    more = lambda parts: F.array_join(F.transform(F.split(F.substring(noise, F.lit(20), attempt), ""), syllable(parts)), "")
+    one = F.when(cyrillic, F.concat(family(_CYRILLIC, 5), more(_CYRILLIC))).otherwise(F.concat(family(_LATIN, 5), more(_LATIN)))
     first = F.when(cyrillic, by_gender(_FIRST_CYRILLIC)).otherwise(by_gender(_FIRST))
     middle = F.when(cyrillic, family(_CYRILLIC, 12)).otherwise(family(_LATIN, 12))
     return F.concat(F.substring(canon, 1, 2), F.when(words == 1, one).when(words == 2, F.concat_ws(" ", first, one)).otherwise(F.concat_ws(" ", first, middle, one)))
@@ -151,20 +158,22 @@ def draw(kind: Column, canon: Column, attempt: Column) -> Column:
     # A short local part has few forms; letters that later rounds add make room.
     more = F.substring(_letters(F.reverse(noise)), F.lit(1), F.greatest(attempt - 1, F.lit(0)))
     email = F.concat(_redraw(local, noise), more, F.lit("@"), F.substring(site, 1, 10), F.lit(".example.org"))
-    phone = F.concat(F.substring(canon, 1, 1), F.substring(_digits(noise), F.lit(1), F.length(canon) - 1))
+    longer = F.greatest(attempt - SAME_LENGTH + 1, F.lit(0))
+    number = lambda size: F.concat(F.substring(canon, 1, 1), F.substring(_digits(noise), F.lit(1), size - 1))
+    size = F.length(canon) + longer
     prefix = F.regexp_extract(canon, "^(AKIA|(?:sk|ghp|xoxb)[-_])?", 0)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(9), octet(17), octet(25)))
-        .when(kind == "phone", phone)
-        .when(kind == "card", F.when(_luhn(canon), _with_check(F.substring(phone, F.lit(1), F.length(canon) - 1))).otherwise(phone))
+        .when(kind == "phone", number(size))
+        .when(kind == "card", F.when(_luhn(canon), _with_check(number(F.length(canon) - 1))).otherwise(number(F.length(canon))))
         .when(kind == "ssn", F.substring(_digits(noise), F.lit(1), F.length(canon)))
-        .when(kind == "name", _name(canon, noise))
+        .when(kind == "name", _name(canon, noise, attempt))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _redraw(F.substring(canon, F.lit(3), F.length(canon)), noise)))
-        .when(canon.rlike("^[0-9]{1,128}$"), F.substring(_digits(noise), F.lit(1), F.length(canon)))
-        .when(canon.rlike("^[0-9a-f]{1,128}$"), F.substring(noise, F.lit(1), F.length(canon)))
-        .when(canon.rlike("^[0-9A-F]{1,128}$"), F.upper(F.substring(noise, F.lit(1), F.length(canon))))
-        .otherwise(F.concat(prefix, F.substring(_redraw(canon, noise), F.length(prefix) + 1, F.length(canon))))
+        .when(canon.rlike("^[0-9]{1,128}$"), F.substring(_digits(noise), F.lit(1), size))
+        .when(canon.rlike("^[0-9a-f]{1,128}$"), F.substring(noise, F.lit(1), size))
+        .when(canon.rlike("^[0-9A-F]{1,128}$"), F.upper(F.substring(noise, F.lit(1), size)))
+        .otherwise(F.concat(prefix, F.substring(_redraw(canon, noise), F.length(prefix) + 1, F.length(canon)), F.substring(_letters(F.reverse(noise)), F.lit(1), longer)))
     )
 
 
@@ -196,7 +205,9 @@ def _render(kind: Column, entity: Column, surrogate: Column) -> Column:
     dealt = lambda own, keep: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(own), F.substring(surrogate, before(i, keep), F.lit(1))).otherwise(c)), "")
     upper = (entity == F.upper(entity)) & (entity != F.lower(entity))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), dealt("[0-9]", "[^0-9]"))
+        F.when(kind.isin("card", "ssn"), dealt("[0-9]", "[^0-9]"))
+        # A longer number ends with the digits that the layout has no place for.
+        .when(kind == "phone", F.concat(dealt("[0-9]", "[^0-9]"), F.substring(surrogate, F.length(F.regexp_replace(entity, "[^0-9]", "")) + 1, F.length(surrogate))))
         .when(kind == "iban", dealt("[0-9A-Z]", "[^0-9A-Z]"))
         .when(kind == "name", F.concat(F.regexp_extract(entity, _TITLE, 0), F.substring(surrogate, F.lit(3), F.length(surrogate))))
         .otherwise(F.when(upper & (kind == "email"), F.upper(surrogate)).otherwise(surrogate))

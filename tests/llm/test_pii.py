@@ -71,3 +71,16 @@ def test_collisions_are_drawn_again(spark):
     assert len({r.surrogate for r in done}) == 3000
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymised(empty)[0].collect() == []
+
+
+def test_more_entities_than_one_round_has_forms(spark):
+    word = F.translate(F.format_string("%05d", F.col("id")), "0123456789", "abcdefghij")
+    names = spark.range(70000).select(F.lit("name").alias("kind"), F.concat(F.lit("n:Q"), word).alias("canon"))
+    phones = spark.range(10000, 19500).select(F.lit("phone").alias("kind"), F.col("id").cast("string").alias("canon"))
+    odd = spark.createDataFrame([("secret", "------")], "kind string, canon string")
+    done = pii.surrogates(names.union(phones).union(odd)).persist()
+    assert done.count() == done.select("kind", "surrogate").distinct().count() == 79501
+    assert done.filter("kind = 'name' and not surrogate rlike '^n:[A-Z][a-z]+$'").count() == 0
+    shown = done.filter("kind = 'phone'").select(pii._render(F.col("kind"), F.concat(F.lit("+"), F.substring("canon", 1, 1), F.lit(" "), F.substring("canon", 2, 2), F.lit("-"), F.substring("canon", 4, 2)), F.col("surrogate")).alias("x"))
+    assert shown.distinct().count() == 9500 and shown.filter(r"not x rlike '^\\+1 [0-9]{2}-[0-9]{2,}$'").count() == 0
+    assert done.join(done.select("kind", F.col("surrogate").alias("canon")), ["kind", "canon"]).count() == 0
