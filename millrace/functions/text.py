@@ -39,6 +39,21 @@ def label_similarity(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.86).otherwise(shared)
 
 
+def merge_similarity(a: Column, b: Column) -> Column:
+    """1 if equal once normalised, else the greater of 0.86 if one holds the other and a share of matched words.
+
+    A word of a matches if b has it, or one of four letters or more that it begins with or that begins with
+    it; the share is of the longer list of distinct words. At most 0.99 unless equal.
+    """
+    x, y = normalise_label(a), normalise_label(b)
+    u, v = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
+    begins = lambda p, q: (F.length(p) >= 4) & (F.length(q) >= 4) & (p.startswith(q) | q.startswith(p))
+    matches = F.size(F.filter(u, lambda p: F.exists(v, lambda q: (p == q) | begins(p, q))))
+    share = matches / F.greatest(F.size(u), F.size(v))
+    held = F.when(x.contains(y) | y.contains(x), 0.86).otherwise(0.0)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.least(F.greatest(share, held), F.lit(0.99)))
+
+
 def text_evidence(text: Column, query: str, top: int = 3) -> Column:
     """The sentences that hold most of the query's words (10 for each distinct one, 1 for each hit), in text order."""
     words = sorted({w for w in query.lower().split() if len(w) >= 2})

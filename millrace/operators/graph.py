@@ -6,10 +6,12 @@ loops over paths that don't visit a node twice; each round joins on the node, so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import label_similarity, normalise_label
+from ..functions.text import merge_similarity, normalise_label
 from . import shared
 
 
@@ -26,12 +28,26 @@ def resolve(nodes: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame
     return names.withColumn("l", normalise_label(F.col("name"))).join(known, "l", "left").select("name", "node_id")
 
 
+#: Letters of a label, or fewer if it is shorter, by which labels that hold it are found.
+GRAM = 8
+
+
 def suggest_merges(nodes: DataFrame, least: float = 0.86) -> DataFrame:
-    """Pairs of one kind with similar labels; only labels that share a word are compared."""
-    words = nodes.select("kind", "node_id", "label", F.explode(F.array_distinct(F.split(normalise_label(F.col("label")), " "))).alias("w")).filter("w <> ''")
-    other = words.select("kind", F.col("node_id").alias("other_id"), F.col("label").alias("other"), "w")
-    pairs = words.join(other, ["kind", "w"]).filter("node_id < other_id").select("kind", "node_id", "other_id", "label", "other").distinct()
-    return pairs.withColumn("similarity", label_similarity(F.col("label"), F.col("other"))).filter(F.col("similarity") >= least)
+    """Pairs of one kind whose labels have at least that similarity, which is over 0.
+
+    Such labels match in a word or one holds the other. Words that match are equal or, from four letters on,
+    begin alike. A label is held only where its first letters are, so these are met by all pieces as long.
+    """
+    l = normalise_label(F.col("label"))
+    rows = nodes.select("kind", "node_id", "label", l.alias("l")).filter("l <> ''")
+    words = rows.select("kind", "node_id", "label", F.explode(F.array_distinct(F.transform(F.split("l", " "), lambda w: F.substring(w, 1, 4)))).alias("w"))
+    first = rows.select("kind", "node_id", "label", F.substring("l", 1, GRAM).alias("w"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("l")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("l") - i + 1)), lambda n: F.substring(F.col("l"), i, n)))
+    pieces = rows.select("kind", "node_id", "label", F.explode(F.array_distinct(F.flatten(starts))).alias("w"))
+    other = lambda t: t.select("kind", F.col("node_id").alias("other_id"), F.col("label").alias("other"), "w")
+    met = [words.join(other(words), ["kind", "w"]), first.join(other(pieces), ["kind", "w"]), pieces.join(other(first), ["kind", "w"])]
+    pairs = reduce(DataFrame.unionByName, [m.filter("node_id < other_id").select("kind", "node_id", "other_id", "label", "other") for m in met]).distinct()
+    return pairs.withColumn("similarity", merge_similarity(F.col("label"), F.col("other"))).filter(F.col("similarity") >= least)
 
 
 def merged(edges: DataFrame, merges: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
+import random
+import re
 from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
 
 from millrace import catalog
+from millrace.operators import graph
 
 
 def walks_of_all_customers(sf, start, depth):
@@ -41,3 +44,26 @@ def test_walks_are_of_the_whole_customer_table(spark, sf):
     assert [r.score for r in rows] == pytest.approx([-s for s, _, _ in want])
     paths = [(d, ",".join(map(str, ids))) for n, d, ids, _ in found if n == 1001 or n == 2001 and d == 1]
     assert sorted(tuple(r) for r in catalog.QUERIES["graph_paths"](spark, sf).collect()) == sorted(paths)
+
+
+def similarity(a, b):
+    x, y = (" ".join(re.findall(r"[^\W_]+", s.lower())) for s in (a, b))
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    u, v = set(x.split()), set(y.split())
+    n = sum(any(p == q or min(len(p), len(q)) >= 4 and (p.startswith(q) or q.startswith(p)) for q in v) for p in u)
+    return min(max(n / max(len(u), len(v)), 0.86 * (x in y or y in x)), 0.99)
+
+
+def test_merges_match_all_pairs(spark):
+    rng = random.Random(5)
+    labels = ["Acme", "AcmeCorp", "The Acme", "a", "AC", "", "...", "Data Analytic", "Data Analytics Unit", "Datas Analytics", "corp of data", "p of d", "International Business", "national business", "A.c.m.e", "acme!"]
+    labels += ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    rows = [(i % 2 if i >= 16 else 0, i, s) for i, s in enumerate(labels)]
+    nodes = spark.createDataFrame(rows, "kind int, node_id long, label string")
+    for least in (0.86, 0.5):
+        want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and similarity(a[2], b[2]) >= least}
+        got = [(r.node_id, r.other_id) for r in graph.suggest_merges(nodes, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and (0, 1) in want
