@@ -11,5 +11,5 @@ from .plans import analytics, portable
 from .sources.tables import run_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {k: partial(run_sql, text=v) for k, v in portable.SQL.items()} | analytics.QUERIES
+QUERIES: dict[str, Query] = {k: partial(run_sql, text=v) for k, v in (portable.SQL | portable.WHOLE).items()} | analytics.QUERIES
 ORACLE: dict[str, str] = portable.ORACLE | analytics.ORACLE
