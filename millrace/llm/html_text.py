@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "title", "math", "canvas", "audio", "video", "button"}
+_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video", "button"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCK - {"html", "head", "body", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}

@@ -52,3 +52,8 @@ def test_pages_give_the_article(spark, sf):
             import html
 
             assert r.text.split() == [w for x in words for w in html.unescape(x).split()]
+
+
+def test_formulas_stay_in_their_paragraph():
+    page = "<article><p>The law of the falling stone, which is known to all, says <math display='block'><mi>s</mi><mo>=</mo><mi>g</mi></math> for every stone that falls.</p></article>"
+    assert ht.main_text(page) == "The law of the falling stone, which is known to all, says s=g for every stone that falls."
