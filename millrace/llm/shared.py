@@ -66,6 +66,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def partitions_for(df: DataFrame, most: int) -> int:
+    """As many partitions as the input's size, estimated from its files, needs for most bytes each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(-(-size // most), 100_000))
+
+
 class Forest:
     """Union-find over arbitrary 64-bit node ids; the smallest id of a tree is its root."""
 

@@ -3,10 +3,11 @@
 A file is a run of zstandard frames that hold whole documents, each document its ids as little-endian
 unsigned 32-bit integers. A skippable frame with the document index follows (compressed; for each
 document its id, whether that is null, its frame, its place in the frame and its number of ids), and
-then the seek table in the public seekable layout (compressed size, size and checksum of each frame,
-then their number, a descriptor and a magic number). A reader loads the two tables from the end of the
-file and decompresses only the frames with the documents asked for. Frames also carry zstandard's own
-content checksum.
+then, at the very end, the seek table in the public seekable layout (compressed size, size and checksum
+of each frame, then their number, a descriptor and a magic number). The index begins where the frames of
+the seek table end. A reader loads the two tables and decompresses only the frames with the documents
+asked for; any other zstandard reader gets the ids of the file in order. Frames also carry zstandard's
+own content checksum.
 
 Null texts are empty texts: they give the end id alone. Documents are in ascending doc_id order, null
 ids first; rows that share an id follow the hash of their text, and repeated rows are repeated. Other
@@ -18,12 +19,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 FRAME_BYTES = 1 << 20
+#: Bytes of input that a file takes at most, about.
+FILE_BYTES = 64 << 20
 _SKIPPABLE_INDEX, _SKIPPABLE_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 
@@ -72,7 +75,6 @@ class FileWriter:
         table = b"".join(struct.pack("<III", *f) for f in self.frames)
         footer = struct.pack("<IBI", len(self.frames), 0x80, _SEEK_MAGIC)
         self.out.write(struct.pack("<II", _SKIPPABLE_SEEK, len(table) + len(footer)) + table + footer)
-        self.out.write(struct.pack("<Q", len(packed) + 8))
 
 
 class FileReader:
@@ -81,14 +83,13 @@ class FileReader:
     def __init__(self, source) -> None:
         self.source = source
         end = source.size()
-        n, kind, magic, index_bytes = struct.unpack("<IBIQ", self._read(end - 17, 17))
+        n, kind, magic = struct.unpack("<IBI", self._read(end - 9, 9))
         if magic != _SEEK_MAGIC or kind != 0x80:
             raise ValueError("no seek table")
-        seek_bytes = 8 + 12 * n + 9
-        table = np.frombuffer(self._read(end - 17 - 12 * n, 12 * n), dtype="<u4").reshape(n, 3)
-        self.frames = table
-        self.starts = [0, *accumulate(int(x) for x in table[:, 0])]
-        packed = self._read(end - 8 - seek_bytes - index_bytes + 8, index_bytes - 8)
+        self.frames = np.frombuffer(self._read(end - 9 - 12 * n, 12 * n), dtype="<u4").reshape(n, 3)
+        self.starts = [0, *accumulate(int(x) for x in self.frames[:, 0])]
+        # The index frame lies between the last frame and the seek table.
+        packed = self._read(self.starts[-1] + 8, end - 9 - 12 * n - 8 - self.starts[-1] - 8)
         self.unpacker = zstandard.ZstdDecompressor()
         self.index = np.frombuffer(self.unpacker.decompress(packed), dtype=_INDEX)
         self.frame, self.raw = -1, b""
@@ -116,83 +117,158 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: ASCII punctuation (but the apostrophe) after a letter is a token boundary.
-_POINTS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-KNOWN_RUNS = 1_000_000
-_encoders: dict[str, Callable] = {}
+_POINTS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: Distinct runs an encoder keeps, and bytes of text it takes at once; either only bounds memory.
+KNOWN_RUNS, TEXT_BYTES = 1_500_000, 16 << 20
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to ids for a tokenizers file whose pre-tokenizer drops white space.
+class Encoder:
+    """Ids of whole texts for a tokenizers file whose pre-tokenizer drops white space and parts letters from the rest.
 
-    Such a vocabulary never joins characters across white space, so the ids of a text are those of its
-    runs between ASCII white space. Runs repeat, so each is encoded once and kept (up to a bound).
+    Such a vocabulary never joins characters across white space, so the ids of a text are those of its runs
+    between ASCII white space. Runs repeat, so each is encoded once and kept, up to a bound. Runs of letters
+    alone are encoded many at a time, as one string, and parted again where a token ends a word; only if there
+    are as many word ends as runs, else one by one. Texts that may hold a special token are encoded whole.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            runs = []
-            for text in texts:
-                raw = text.encode("utf-8", "surrogatepass")
-                if b"<|" not in raw:  # what could be a special token stays as it is
-                    raw = raw.lower()
-                runs.append(raw.split())
-            used = set().union(*runs)
-            if len(known) > KNOWN_RUNS:  # what is in use stays
-                kept = {r: known[r] for r in used if r in known}
-                known.clear()
-                known.update(kept)
-            pointed, new = [], set()
-            for r in used.difference(known):
-                base = r.rstrip(_POINTS)
-                if base and len(base) < len(r) and 97 <= base[-1] <= 122 and b"<" not in r:
-                    pointed.append((r, base, r[len(base) :]))
-                    new.update(pointed[-1][1:])
-                else:
-                    new.add(r)
-            new = list(new.difference(known))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                strings = [r.decode("utf-8", "replace") for r in part]
-                for r, e in zip(part, tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-                    known[r] = array("I", e.ids).tobytes()
-            for r, base, tail in pointed:
-                known[r] = known[base] + known[tail]
-            return [np.frombuffer(b"".join(map(known.__getitem__, run)), dtype=np.uint32) for run in runs]
-
-        _encoders[path] = encode
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _keep(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(runs)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + m > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + m] = sizes
+        self.used += len(ids)
+        self.known.update(zip(runs, range(n, n + m)))
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, runs: list[str]) -> None:
+        """Encodes new runs."""
+        words = [r for r in runs if r.isalpha()]
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[ids])
+            sizes = np.diff(ends, prepend=-1)
+            if len(ends) != len(part) or ends[-1] != len(ids) - 1:
+                ids, sizes = self._one_by_one(part)
+            self._keep(part, ids, sizes)
+        rest = [r for r in runs if not r.isalpha()]  # the empty run beside white space, too
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            self._keep(part, *self._one_by_one(part))
+
+    def _slots(self, runs: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN_RUNS:
+            self._forget()
+        new = [r for r in runs if r not in self.known]
+        pointed, base = [], {}
+        for r in new:
+            word = r.rstrip(_POINTS)
+            if word and len(word) < len(r) and "a" <= word[-1] <= "z":
+                pointed.append((r, word, r[len(word) :]))
+                base[word] = base[pointed[-1][2]] = None
+            else:
+                base[r] = None
+        self._learn([r for r in base if r not in self.known])
+        if pointed:
+            a = np.fromiter((self.known[x[1]] for x in pointed), np.int64, len(pointed))
+            b = np.fromiter((self.known[x[2]] for x in pointed), np.int64, len(pointed))
+            pairs = np.column_stack([a, b]).ravel()
+            ids, _ = self._gather(pairs)
+            self._keep([x[0] for x in pointed], ids, self.sizes[a] + self.sizes[b])
+        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these runs in turn, and where each ends."""
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[slots] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        return self.ids[places], ends
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; nulls are empty."""
+        texts = texts.fill_null("")
+        special = pc.match_substring(texts, "<|")
+        has = pc.any(special).as_py()
+        plain = pc.if_else(special, "", texts) if has else texts
+        runs = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        offsets = runs.offsets.to_numpy().astype(np.int64)
+        words = runs.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        slots = self._slots(own)
+        ids, ends = self._gather(slots[words.indices.to_numpy()])
+        ends = np.concatenate([[0], ends])
+        cuts = ends[offsets - offsets[0]]
+        for i in range(len(texts)):
+            if has and special[i].as_py():
+                yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[cuts[i] : cuts[i + 1]]
+
+
+def encoder(path: str) -> Encoder:
+    """One for each process and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def _slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterable[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows with at most so many bytes of text, one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right"))
+            end = max(at + 1, end)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int) -> DataFrame:
     """Tokenise and write documents (doc_id, text) into folder; one row for each file, written already.
 
     Rows are dealt by ranges of (doc_id, hash of the text), so no range outgrows a task even if one id
-    repeats. Every attempt of a task writes a file of its own name; the returned manifest names the
-    files of the attempts that succeeded, and readers use no others.
+    repeats; a range has about FILE_BYTES of input. Every attempt of a task writes a file of its own name;
+    the returned manifest names the files of the attempts that succeeded, readers use no others, and those
+    that other attempts left are removed.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    docs = docs.repartitionByRange(shared.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    docs = docs.repartitionByRange(shared.partitions_for(documents, FILE_BYTES), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(tokenizer_path)
+        own = encoder(tokenizer_path)
+        end = np.uint32(end_id)
         writer = None
-        for batch in _slices(batches):
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+        for batch in _slices(batches, 1):
             ids = batch.column(0).to_pylist()
             if writer is None and ids:
                 uri = f"{folder}/{uuid.uuid4().hex}.ids"
@@ -200,8 +276,8 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream, first = fs.open_output_stream(path), (ids[0], batch.column(2)[0].as_py())
                 writer = FileWriter(stream)
-            for doc_id, x in zip(ids, encode(texts)):
-                writer.add(doc_id, np.append(x, np.uint32(end_id)))
+            for doc_id, x in zip(ids, own.encode(batch.column(1))):
+                writer.add(doc_id, np.append(x, end))
         if writer is not None:
             writer.close()
             stream.close()
@@ -210,7 +286,18 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
                 schema=pa.schema([("uri", pa.string()), ("first_id", pa.int64()), ("first_h", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]),
             )
 
-    return shared.written(docs.mapInArrow(write, "uri string, first_id long, first_h long, docs long, tokens long"), "manifest")
+    manifest = shared.written(docs.mapInArrow(write, "uri string, first_id long, first_h long, docs long, tokens long"), "manifest")
+    _remove_others(spark, folder, {r.uri.rpartition("/")[2] for r in manifest.select("uri").toLocalIterator()})
+    return manifest
+
+
+def _remove_others(spark: SparkSession, folder: str, keep: set[str]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(path):
+        for f in fs.listStatus(path):
+            if f.getPath().getName() not in keep:
+                fs.delete(f.getPath(), False)
 
 
 def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
