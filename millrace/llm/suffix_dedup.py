@@ -6,21 +6,23 @@ suffixes need sorting. Of the GRAM-byte strings in each LENGTH-byte window the o
 repeated windows are found among the suffixes that start at anchors with equal GRAM-byte strings.
 
 1. A pass over the texts gives the anchors: hash of the string, the range of windows it stands for, and
-   a hash of all bytes of that range.
-2. Anchors that occur once are dropped. Where all occurrences of an anchor stand for one and the same
-   byte range, every window of it is repeated.
-3. Of the other anchors one representative of each different range is sorted, its text to the right of
-   the anchor in one suffix array and its reversed text to the left in another. Multikey quicksort works
-   to a shallow depth, eight bytes for a character; blind tries order the groups with longer common
-   prefixes. A window that reaches o bytes left of its anchor is repeated if another suffix shares LENGTH
-   - o bytes to the right and o to the left: classes of the two arrays at these depths, for all o at once.
-4. An anchor with more than GROUP different ranges is no group for one task. Its windows are counted as
-   single strings with partial aggregation instead, which is as exact.
+   a 128-bit hash of all bytes of that range. Anchors that occur once are dropped.
+2. Equal ranges of an anchor are one, with a weight; every window of a range of weight two or more is
+   repeated. These hashes pick what is sorted and fold copies; they decide nothing between ranges that differ.
+3. One representative of each different range is sorted, its text to the right of the anchor in one suffix
+   array and its reversed text to the left in another. Multikey quicksort works to a shallow depth, eight
+   bytes for a character; blind tries order the groups with longer common prefixes. A window that reaches o
+   bytes left of its anchor is repeated if another suffix shares LENGTH - o bytes to the right and o to the
+   left: classes of the two arrays at these depths, for all o at once.
+4. A group of more than GROUP ranges is too large for one task and is parted by its next bytes: the offsets o
+   are halved, and of either half the ranges that share the bytes which all its windows have are a group of
+   their own. In a part, ranges alike in all bytes of its windows are one again. So each round doubles no more
+   than the rows of groups still too large, and log2(LENGTH - GRAM) rounds do: a part of one offset has one
+   range. The result doesn't depend on GROUP.
 5. Repeated ranges go back to their documents, where they are merged and cut out.
 
-Hashes are of 64 bits; ranges that share one are compared by a hash of another kind. Null texts are empty.
-Repeated rows are documents of their own, whatever their id. Texts shorter than LENGTH lose nothing. Long
-texts pass whole. Other columns are ignored. An empty table gives no rows.
+Null texts are empty. Repeated rows are documents of their own, whatever their id. Texts shorter than LENGTH
+lose nothing. Long texts pass whole. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 LENGTH, GRAM = 200, 100
+#: Ranges that a task sorts as one group.
 GROUP = 500
 #: Multikey quicksort goes this many bytes deep, in characters of eight; blind tries do the rest.
 SHALLOW = 32
@@ -202,11 +205,11 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, order: np.ndarray, dep
     return lcp
 
 
-def repeated_windows(texts: list[bytes], places: np.ndarray, counts: np.ndarray, weights: np.ndarray, group: np.ndarray, length: int, gram: int, shallow: int = SHALLOW) -> np.ndarray:
+def repeated_windows(texts: list[bytes], places: np.ndarray, counts: np.ndarray, weights: np.ndarray, group: np.ndarray, length: int, gram: int, shallow: int = SHALLOW, low: np.ndarray | int = 0, high: np.ndarray | int | None = None) -> np.ndarray:
     """For each range, which of its windows are repeated, as (n, length - gram + 1) by the window's number.
 
     texts are ranges of bytes, with the anchor at places and counts windows; weights are how often each
-    occurs, group numbers its anchor.
+    occurs, group numbers its anchor. Only windows that reach low to high bytes left of it are looked at.
     """
     n, width = len(texts), length - gram + 1
     left, right = width - 1, length
@@ -228,7 +231,7 @@ def repeated_windows(texts: list[bytes], places: np.ndarray, counts: np.ndarray,
     for o in range(width):
         # The window o bytes left of the anchor is number places - o of its range.
         number = places - o
-        has = np.flatnonzero((number >= 0) & (number < counts) & (has_left >= o) & (has_right >= length - o))
+        has = np.flatnonzero((number >= 0) & (number < counts) & (has_left >= o) & (has_right >= length - o) & (low <= o) & (o <= (width - 1 if high is None else high)))
         if not len(has):
             continue
         classes = []
@@ -259,43 +262,44 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
 
 
 def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row, first, n): runs of n successive repeated windows, of rows (row long, unique, and text)."""
+    """(row, runs): runs (first, n) of n successive repeated windows, of rows (row long, unique, and text)."""
     spark = rows.sparkSession
     width = length - gram + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [[], [], [], [], [], []]
+        held: list = [[], [], [], [], [], [], []]
         size = 0
         for row, data in _documents(batches):
             h, place, start, count = anchors(data, length, gram)
             if not len(h):
                 continue
             raw = memoryview(np.ascontiguousarray(data))
-            digest = xxhash.xxh3_64_intdigest
-            whole = np.fromiter((digest(raw[s : s + c + length - 1]) for s, c in zip(start.tolist(), count.tolist())), np.uint64, len(h))
-            for x, y in zip(held, (h.view(np.int64), whole.view(np.int64), np.full(len(h), row, np.int64), place.astype(np.int32), start.astype(np.int32), count.astype(np.int16))):
+            digest = xxhash.xxh3_128_digest
+            whole = np.frombuffer(b"".join([digest(raw[s : s + c + length - 1]) for s, c in zip(start.tolist(), count.tolist())]), np.int64).reshape(-1, 2)
+            for x, y in zip(held, (h.view(np.int64), whole[:, 0], whole[:, 1], np.full(len(h), row, np.int64), place.astype(np.int32), start.astype(np.int32), count.astype(np.int16))):
                 x.append(y)
             size += len(h)
             if size > 100_000:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in held], names=names)
-                held, size = [[], [], [], [], [], []], 0
+                held, size = [[], [], [], [], [], [], []], 0
         if size:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in held], names=names)
 
-    names = ["h", "whole", "row", "place", "start", "n"]
-    found = shared.written(rows.select("row", "text").mapInArrow(find, "h long, whole long, row long, place int, start int, n short"), "anchors")
+    names = ["h", "w1", "w2", "row", "place", "start", "n"]
+    found = shared.written(rows.select("row", "text").mapInArrow(find, "h long, w1 long, w2 long, row long, place int, start int, n short"), "anchors")
     # Anchors that occur again, and whether all their ranges are the same.
-    again = found.groupBy("h").agg(F.count("*").alias("c"), (F.min("whole") == F.max("whole")).alias("one")).filter("c > 1")
+    same = (F.min("w1") == F.max("w1")) & (F.min("w2") == F.max("w2"))
+    again = found.groupBy("h").agg(F.count("*").alias("c"), same.alias("one")).filter("c > 1")
     again = shared.written(again.select("h", "one"), "again")
-    own = shared.written(found.join(again, "h").select("h", "one", "whole", "row", "place", "start", "n"), "own")
+    own = shared.written(found.join(again, "h").select("h", "one", "w1", "w2", "row", "place", "start", "n"), "own")
     shared.discard(found)
-    done = own.filter("one").select("row", F.col("start").alias("first"), F.col("n").cast("int").alias("n"))
+    shared.discard(again)
+    run = lambda first, n: F.array(F.struct(first.cast("int").alias("first"), n.cast("int").alias("n")))
+    done = own.filter("one").select("row", run(F.col("start"), F.col("n")).alias("runs"))
 
-    ranges = own.filter("not one").groupBy("h", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("row", "start", "place", "n")).alias("x"))
-    ranges = shared.written(ranges.select("h", "whole", "weight", "x.*"), "ranges")
-    crowded = shared.written(ranges.groupBy("h").count().filter(F.col("count") > GROUP).select("h"), "crowded")
-    wanted = ranges.join(crowded.withColumn("hot", F.lit(True)), "h", "left").select("h", "whole", "weight", "row", "start", "place", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "whole", "weight", "start", "place", "n", "hot")).alias("x"))
+    ranges = own.filter("not one").groupBy("h", "w1", "w2").agg(F.count("*").alias("weight"), F.min(F.struct("row", "start", "place", "n")).alias("x"))
+    ranges = shared.written(ranges.select("h", "w1", "w2", "weight", "x.*"), "ranges")
+    wanted = ranges.groupBy("row").agg(F.collect_list(F.struct("h", "w1", "w2", "weight", "start", "place", "n")).alias("x"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,13 +308,59 @@ def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 out = []
                 for text, xs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     raw = text.encode("utf-8", "surrogatepass")
-                    out += [(x["h"], x["whole"], x["weight"], x["place"] - x["start"], x["n"], x["hot"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in xs]
-                columns = list(zip(*out)) or [[]] * 7
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["h", "whole", "weight", "place", "n", "hot", "bytes"])
+                    out += [(x["h"], x["w1"], x["w2"], x["weight"], x["place"] - x["start"], x["n"], x["h"], 0, width - 1, raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in xs]
+                columns = list(zip(*out)) or [[]] * 10
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=_PIECE)
+
+    pieces = rows.join(wanted, "row").select("text", "x").mapInArrow(cut, "h long, w1 long, w2 long, weight long, place int, n int, node long, low int, high int, bytes binary")
+    level = shared.written(pieces, "pieces")
+    key = ["h", "w1", "w2"]
+    marks = [ranges.filter("weight > 1").select(*key, run(F.lit(0), F.col("n")).alias("runs"))]
+    while True:
+        crowded = shared.written(level.groupBy("node").count().filter(F.col("count") > GROUP).select("node"), "crowded")
+        if crowded.isEmpty():
+            marks.append(_sorted(level, length, gram))
+            break
+        marks.append(_sorted(level.join(crowded, "node", "left_anti").select(*_PIECE), length, gram))
+        parts = shared.written(_halved(level.join(crowded, "node", "left_semi").select(*_PIECE), length), "parts")
+        # Ranges alike in all bytes that a part's windows have are one; their windows there are repeated.
+        classes = parts.groupBy("node", "alike").agg(F.count("*").alias("c"), F.sum("weight").alias("total"), F.min(F.struct(*key)).alias("first"))
+        classes = shared.written(classes, "classes")
+        of = F.struct(*key) == F.col("first")
+        parts = parts.join(classes, ["node", "alike"])
+        marks.append(parts.filter("c > 1").select(*key, run(F.col("place") - F.col("to"), F.col("to") - F.col("from") + 1).alias("runs")))
+        level = shared.written(parts.filter(of).withColumn("weight", F.col("total")).select(*_PIECE), "pieces")
+    both = marks[0]
+    for m in marks[1:]:
+        both = both.unionByName(m)
+    marked = shared.written(both.groupBy(*key).agg(F.flatten(F.collect_list("runs")).alias("runs")), "marks")
+    moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).cast("int").alias("first"), r["n"].alias("n")))
+    back = own.filter("not one").select(*key, "row", "start").join(marked, key).select("row", moved.alias("runs"))
+    return done.unionByName(back)
+
+
+_PIECE = ["h", "w1", "w2", "weight", "place", "n", "node", "low", "high", "bytes"]
+
+
+def _halved(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece in either half of its group's offsets, where it has windows.
+
+    node is of the bytes that all windows of the half have, alike of those that any window of the piece has.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b"))))
+    p = pieces.withColumn("half", half)
+    p = p.withColumn("from", F.greatest("half.a", F.col("place") - F.col("n") + 1)).withColumn("to", F.least("half.b", "place")).filter(F.col("from") <= F.col("to"))
+    # A window at offset o has the bytes from o left of the anchor to length - o right of it.
+    common = F.substring("bytes", F.col("place") - F.col("half.a") + 1, F.col("half.a") + length - F.col("half.b"))
+    whole = F.substring("bytes", F.col("place") - F.col("to") + 1, F.col("to") + length - F.col("from"))
+    node = F.xxhash64("h", "half.a", "half.b", common)
+    return p.select("h", "w1", "w2", "weight", "place", "n", node.alias("node"), F.col("half.a").alias("low"), F.col("half.b").alias("high"), "bytes", "from", "to", F.md5(F.concat(F.encode(F.concat_ws(",", "from", "to", F.lit("")), "utf-8"), whole)).alias("alike"))
+
 
-    pieces = rows.join(wanted, "row").select("text", "x").mapInArrow(cut, "h long, whole long, weight long, place int, n int, hot boolean, bytes binary")
-    pieces = shared.written(pieces, "pieces")
+def _sorted(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """The repeated windows of groups (node) that a task can hold, by deep-shallow sorting."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups lie together; as many as fit are sorted at once."""
@@ -320,17 +370,18 @@ def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         def flush(part: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(part)
             column = lambda c: t.column(c).to_numpy()
-            repeated = repeated_windows(t.column("bytes").to_pylist(), column("place").astype(np.int64), column("n").astype(np.int64), column("weight"), column("h"), length, gram)
+            repeated = repeated_windows(t.column("bytes").to_pylist(), column("place").astype(np.int64), column("n").astype(np.int64), column("weight"), column("node"), length, gram, low=column("low"), high=column("high"))
             which, first, n = _runs(repeated)
-            return pa.record_batch([pa.array(column("h")[which]), pa.array(column("whole")[which]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "whole", "first", "n"])
+            runs = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["first", "n"])
+            return pa.record_batch([pa.array(column(c)[which]) for c in ("h", "w1", "w2")] + [pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32)), runs)], names=["h", "w1", "w2", "runs"])
 
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size >= 40_000:
                 table = pa.Table.from_batches(held).combine_chunks()
-                h = table.column("h").to_numpy()
-                last = np.flatnonzero(h != h[-1])  # the last group may go on
+                node = table.column("node").to_numpy()
+                last = np.flatnonzero(node != node[-1])  # the last group may go on
                 stop = int(last[-1]) + 1 if len(last) else 0
                 if stop:
                     yield flush(table.slice(0, stop).to_batches())
@@ -339,29 +390,8 @@ def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         if size:
             yield flush(held)
 
-    groups = pieces.filter("not hot").select("h", "whole", "weight", "place", "n", "bytes")
-    groups = groups.repartition(shared.shuffle_partitions(spark), "h").sortWithinPartitions("h")
-    of_ranges = groups.mapInArrow(sort, "h long, whole long, first int, n int")
-
-    # Single windows of the crowded anchors: equal ones have one anchor, so its hash and theirs are 128 bits.
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = []
-                for h, whole, weight, n, raw in zip(*(part.column(i).to_pylist() for i in range(5))):
-                    view = memoryview(raw)
-                    out += [(h, whole, i, xxhash.xxh3_64_intdigest(view[i : i + length]) - (1 << 63), weight) for i in range(n)]
-                columns = list(zip(*out)) or [[]] * 5
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["h", "whole", "i", "w", "weight"])
-
-    windows = pieces.filter("hot").select("h", "whole", "weight", "n", "bytes").mapInArrow(single, "h long, whole long, i long, w long, weight long")
-    windows = shared.written(windows, "windows")
-    twice = shared.written(windows.groupBy("h", "w").agg(F.sum("weight").alias("c")).filter("c > 1").select("h", "w"), "twice")
-    of_windows = windows.join(twice, ["h", "w"]).select("h", "whole", F.col("i").cast("int").alias("first"), F.lit(1).alias("n"))
-    marks = shared.written(of_ranges.unionByName(of_windows), "marks")
-    back = own.filter("not one").select("h", "whole", "row", "start").join(marks, ["h", "whole"])
-    return done.unionByName(back.select("row", (F.col("start") + F.col("first")).alias("first"), "n"))
+    groups = pieces.repartition(shared.shuffle_partitions(pieces.sparkSession), "node").sortWithinPartitions("node")
+    return groups.mapInArrow(sort, "h long, w1 long, w2 long, runs array<struct<first:int,n:int>>")
 
 
 def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,7 +416,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         numbered = shared.written(docs.select("doc_id", "text", place.alias("row")), "numbered")
     spans = removals(numbered, length, gram)
     # Runs of one text, merged before they travel: a range of windows covers length - 1 bytes more.
-    gathered = shared.written(spans.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("x")), "spans")
+    gathered = shared.written(spans.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("x")), "spans")
     out = numbered.join(gathered, "row", "left").select("doc_id", "text", "x")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
