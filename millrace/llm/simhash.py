@@ -16,26 +16,27 @@ Two ways to find all pairs of distinct fingerprints within a radius, both exact:
   these links as candidates only: fingerprints and sizes are then of distinct shingles, and
   ``link_similar`` links a pair once the similarity of its shingle sets is computed.
 
-In both, tiles are sorted by population count and a pair of tiles whose counts differ beyond the radius
-is skipped. A tile gives a spanning forest of its links, never all pairs, and a band or class with many
-fingerprints is dealt into tiles, each pair of tiles a key of its own.
+In both, a band or class with many fingerprints is dealt into tiles by population count, and pairs of tiles
+whose counts differ beyond the radius are not made; within a pair, neither are strips of rows. Each pair of
+tiles is a key of its own and gives a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 TILE = 512
-WIDE_TILE = 4096
+WIDE_TILE = 8192
 
 
 def _hashes(text: bytes, k: int) -> np.ndarray:
@@ -170,14 +171,20 @@ def link_close(distinct: DataFrame, radius: int) -> DataFrame:
     width = [64 // (radius + 1) + (i < 64 % (radius + 1)) for i in range(radius + 1)]
     low = [sum(width[:i]) for i in range(radius + 1)]
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("f0"), low[i]).bitwiseAND((1 << width[i]) - 1).alias("key")) for i in range(radius + 1)])
-    rows = distinct.select("f0", F.explode(bands).alias("x")).select("f0", "x.band", "x.key")
-    counts = rows.groupBy("band", "key").count().filter("count > 1")
-    counts = shared.written(counts, "bands")
-    rows = rows.join(counts, ["band", "key"])
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
-    rows = rows.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("f0"), F.col("tiles")).cast("int"))
-    # A tile meets itself and every other one: (t, t), and (least, greatest) for the others.
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = distinct.select("f0", F.bit_count("f0").alias("p"), F.explode(bands).alias("x")).select("f0", "p", "x.band", "x.key")
+    # A key's tiles are of one population count each, unless one tile holds all: 65 counts at most for a key.
+    counts = rows.groupBy("band", "key", "p").count()
+    tiles = F.map_from_entries(F.collect_list(F.struct("p", F.ceil(F.col("count") / TILE).cast("int"))))
+    keys = counts.groupBy("band", "key").agg(F.sum("count").alias("count"), tiles.alias("tiles")).filter("count > 1")
+    rows = rows.join(shared.written(keys, "bands"), ["band", "key"])
+    name = lambda p, t: p.cast("long") * (1 << 32) + t.cast("long")
+    own = name(F.col("p"), F.pmod(F.xxhash64("f0"), F.element_at("tiles", F.col("p"))))
+    # A tile meets itself and those whose counts are within the radius; other pairs are never made.
+    near = F.filter(F.sequence(F.col("p") - radius, F.col("p") + radius), lambda q: F.map_contains_key("tiles", q))
+    others = F.flatten(F.transform(near, lambda q: F.transform(F.sequence(F.lit(0), F.element_at("tiles", q) - 1), lambda u: name(q, u))))
+    one = F.col("count") <= TILE
+    rows = rows.withColumn("t", F.when(one, F.lit(0).cast("long")).otherwise(own))
+    rows = rows.withColumn("o", F.explode(F.when(one, F.array(F.lit(0).cast("long"))).otherwise(others)))
     rows = rows.select("band", "key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), (F.col("t") > F.col("o")).alias("second"), "f0")
     rows = rows.repartition(shared.shuffle_partitions(distinct.sparkSession), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
@@ -220,32 +227,32 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
     base = math.log(1 / similarity)
     four = math.floor(math.log(4) / base + 1e-9)
     rows = distinct.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / base + 1e-9).cast("int"))
-    sizes = {r.c: r["count"] for r in rows.groupBy("c").count().collect()}  # one row for each size class
-    if not sizes:
-        return spark.createDataFrame([], "a long, b long")
-    tiles = {c: -(-n // WIDE_TILE) for c, n in sizes.items()}
-    of_class = F.create_map(*[F.lit(x) for c, n in tiles.items() for x in (c, n)])
-    pairs = [
-        (c, t, d, u)
-        for c, n in tiles.items()
-        for d in (c, c + 1)
-        for t in range(n)
-        for u in range(tiles.get(d, 0))
-        if d > c or u >= t
-    ]
     f = [f"f{i}" for i in range(words)]
-    rows = rows.withColumn("t", F.pmod(F.xxhash64(*f), F.coalesce(of_class[F.col("c")], F.lit(1))).cast("int")).select("c", "t", "id", *f)
+    rows = rows.withColumn("p", reduce(lambda a, b: a + b, [F.bit_count(x) for x in f]))
+    # Tiles by population count: those of a class in order of it, so many after those with lesser counts.
+    counts = rows.groupBy("c", "p").count()
+    before = F.sum("count").over(Window.partitionBy("c").orderBy("p")) - F.col("count")
+    deal = counts.select("c", "p", F.floor(before / WIDE_TILE).alias("t0"), F.floor((before + F.col("count") - 1) / WIDE_TILE).alias("t1"))
+    t = F.col("t0") + F.pmod(F.xxhash64(*f), F.col("t1") - F.col("t0") + 1)
+    rows = rows.join(F.broadcast(deal), ["c", "p"]).select("c", t.cast("int").alias("t"), "p", "id", *f)  # 257 counts at most for a class
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        ids, p = table.column("id").to_numpy(), table.column("p").to_numpy()
         a = np.column_stack([table.column(x).to_numpy() for x in f])
-        return pa.table({"c": [key[0].as_py()], "t": [key[1].as_py()], "ids": [ids.tobytes()], "f": [a.tobytes()]}, schema=pa.schema([("c", pa.int32()), ("t", pa.int32()), ("ids", pa.binary()), ("f", pa.binary())]))
-
-    packed = shared.written(rows.groupBy("c", "t").applyInArrow(pack, "c int, t int, ids binary, f binary"), "tiles")
-    plan = spark.createDataFrame(pairs, "c int, t int, d int, u int")
-    other = packed.select(F.col("c").alias("d"), F.col("t").alias("u"), F.col("ids").alias("ids2"), F.col("f").alias("f2"))
-    met = plan.join(packed, ["c", "t"]).join(other, ["d", "u"]).select("c", "t", "d", "u", "ids", "f", "ids2", "f2")
-    met = met.repartition(max(shared.shuffle_partitions(spark), min(len(pairs), 4096)))
+        names = {"c": pa.int32(), "t": pa.int32(), "low": pa.int32(), "high": pa.int32(), "ids": pa.binary(), "f": pa.binary()}
+        return pa.table({"c": [key[0].as_py()], "t": [key[1].as_py()], "low": [int(p.min())], "high": [int(p.max())], "ids": [ids.tobytes()], "f": [a.tobytes()]}, schema=pa.schema(list(names.items())))
+
+    packed = shared.written(rows.groupBy("c", "t").applyInArrow(pack, "c int, t int, low int, high int, ids binary, f binary"), "tiles")
+    # Pairs of tiles are made where the tiles lie, from a row for each; those too far apart in counts are not.
+    tile = packed.select("c", "t", "low", "high").withColumn("d", F.explode(F.array("c", F.col("c") + 1)))
+    mate = packed.select(F.col("c").alias("d"), F.col("t").alias("u"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    reach = F.when((F.col("c") == four) & (F.col("d") == four + 1), F.lit(max(radius, FOUR_RADIUS))).otherwise(F.lit(radius))
+    close = (F.col("low2") - F.col("high") <= reach) & (F.col("low") - F.col("high2") <= reach)
+    plan = shared.written(tile.join(mate, "d").filter(close & ((F.col("d") > F.col("c")) | (F.col("u") >= F.col("t")))).select("c", "t", "d", "u"), "plan")
+    n = max(shared.shuffle_partitions(spark), min(plan.count(), 4096))
+    # Each pair takes one tile along to where the other is.
+    other = packed.select(F.col("c").alias("d"), F.col("t").alias("u"), F.col("ids").alias("ids2"), F.col("f").alias("f2")).repartition(n, "d", "u")
+    met = plan.join(packed.select("c", "t", "ids", "f"), ["c", "t"]).repartition(n, "d", "u").join(other, ["d", "u"]).select("c", "t", "d", "u", "ids", "f", "ids2", "f2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,14 +365,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     near = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
     near = shared.written(near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", F.col("first._row").alias("_row")), "id"), "near")
     # The sets of candidates alone are computed again, rather than all sets written.
-    texts = rows.select(F.col(row).alias("_row"), "text").join(near, "_row").dropDuplicates(["id"]).select("c", "id", "text")
+    twice = shared.written(prints.groupBy("_row").count().filter("count > 1").select("_row"), "twice")
+    again = not twice.isEmpty()
+    texts = rows.select(F.col(row).alias("_row"), "text").join(near, "_row")
+    texts = (texts.dropDuplicates(["id"]) if again else texts).select("c", "id", "text")
     members = shared.written(fingerprints(texts, ["c", "id"], shingle, WIDE_WORDS, sets=True), "members")
     found = shared.components(link_similar(members, WIDE_WORDS, FOUR_RADIUS, similarity))
     of = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("component", "id").alias("c"), "first")
     stay = shared.written(of.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row)).distinct(), "stay")
     kept = rows.join(stay, row, "left_semi")
-    # Rows with one id and one text share a number; one of them stays.
-    return kept.dropDuplicates([row]).select(*columns)
+    if again:  # rows with one id and one text share a number; one of them stays, and others aren't shuffled
+        same = twice.withColumnRenamed("_row", row)
+        kept = kept.join(same, row, "left_anti").unionByName(kept.join(same, row, "left_semi").dropDuplicates([row]))
+    return kept.select(*columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
