@@ -119,7 +119,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 #: ASCII punctuation (but the apostrophe) after a letter is a token boundary.
 _POINTS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Distinct runs an encoder keeps, and bytes of text it takes at once; either only bounds memory.
-KNOWN_RUNS, TEXT_BYTES = 1_500_000, 16 << 20
+KNOWN_RUNS, TEXT_BYTES = 600_000, 8 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -144,7 +144,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.sizes = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
     def _keep(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.known), len(runs)
@@ -202,9 +202,9 @@ class Encoder:
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these runs in turn, and where each ends."""
         sizes = self.sizes[slots]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int32)  # TEXT_BYTES bound it, or one text
         places = np.repeat(self.starts[slots] - (ends - sizes), sizes)
-        places += np.arange(len(places))
+        places += np.arange(len(places), dtype=np.int32)
         return self.ids[places], ends
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
