@@ -84,3 +84,28 @@ def test_more_entities_than_one_round_has_forms(spark):
     shown = done.filter("kind = 'phone'").select(pii._render(F.col("kind"), F.concat(F.lit("+"), F.substring("canon", 1, 1), F.lit(" "), F.substring("canon", 2, 2), F.lit("-"), F.substring("canon", 4, 2)), F.col("surrogate")).alias("x"))
     assert shown.distinct().count() == 9500 and shown.filter(r"not x rlike '^\\+1 [0-9]{2}-[0-9]{2,}$'").count() == 0
     assert done.join(done.select("kind", F.col("surrogate").alias("canon")), ["kind", "canon"]).count() == 0
+
+
+def test_names_keep_coreference_and_other_numbers_stay(spark):
+    rows = [
+        (1, "Mr Smith met Mr John Smith. Later SMITH and John Smith spoke; blacksmith Smithson did not."),
+        (2, "Dr Ana Lopez wrote. Mrs Ana Lopez signed. Κυρία Ελένη Παππά."),
+        (3, "No card: 9807915762804490. Host 2001:0DB8:0000:0000:0000:ff00:0042:8329 is up."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymised(docs)[0].collect()}
+    one = re.match(r"Mr (\w+) met Mr (\w+) (\w+)\. Later (\w+) and (\w+) (\w+) spoke; blacksmith Smithson did not\.$", out[1].text)
+    assert one and one[1] == one[3] == one[6] != "Smith" and one[2] == one[5] and one[4] == "SMITH"
+    two = re.match(r"Dr (\w+ \w+) wrote\. Mrs (\w+ \w+) signed\. Κυρία ([Ͱ-Ͽἀ-῿]+ [Ͱ-Ͽ]+)\.$", out[2].text)
+    assert two and two[1] == two[2] != "Ana Lopez" and two[1].split()[0] in pii._FIRST["latin"]["f"]
+    assert out[3].text.startswith("No card: 9807915762804490. Host 2001:db8:") and out[3]._n_entities == 1
+    other = pii.pseudonymised(docs, key="another")[0].collect()
+    assert all(r.text != out[r.doc_id].text for r in other)
+
+
+def test_a_crowded_space_gets_longer_surrogates(spark):
+    few = spark.range(0, 90).select(F.lit("card").alias("kind"), F.format_string("1%02d", F.col("id")).alias("canon"))
+    few = few.union(spark.range(0, 90).select(F.lit("ssn"), F.format_string("%02d", F.col("id"))))
+    done = pii.surrogates(few)
+    assert done.count() == done.select("kind", "surrogate").distinct().count() == 180
+    assert done.join(few.withColumnRenamed("canon", "surrogate"), ["kind", "surrogate"]).count() == 0
