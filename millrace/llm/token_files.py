@@ -119,7 +119,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 #: ASCII punctuation (but the apostrophe) after a letter is a token boundary.
 _POINTS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Distinct runs an encoder keeps, and bytes of text it takes at once; either only bounds memory.
-KNOWN_RUNS, TEXT_BYTES = 600_000, 8 << 20
+KNOWN_RUNS, TEXT_BYTES = 1_000_000, 10 << 20
 _encoders: dict[str, Encoder] = {}
 
 
