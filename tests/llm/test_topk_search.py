@@ -47,3 +47,23 @@ def test_clusters_in_blocks(spark, monkeypatch, block):
     vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = topk_search.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, lambda q: q % 50 == 0)
+
+
+def test_large_components_are_exact_or_kept_within_bounds(spark):
+    rows = [(0, [5e6, -5e6]), (1, [5e6, 5e6]), (2, [-5e6, 5e6]), (3, [2.0, 3.0]), (50, [3e9, 1.0]), (51, [1e300, 1e300])]
+    vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in topk_search.top_k(vectors, vectors.filter("id in (0, 50)"), 5).collect()}
+    assert got[(0, 1)] == 0 and got[(0, 2)] == -2 * 1280000000**2 and got[(0, 3)] == 1280000000 * (512 - 768)
+    assert got[(50, 51)] == (1 << 63) - 1 and len(got) == 10
+
+
+def test_clustered_vectors_are_mostly_ruled_out():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32)) * 256
+    x = np.floor(centres[rng.integers(0, 40, 8000)] + 5 * rng.normal(size=(8000, 32))).astype(np.int64)
+    pivots = topk_search.choose_pivots(x[:2000].astype(float), topk_search.PIVOTS)
+    table = topk_search.Table(np.arange(8000), x, float((x.astype(float) ** 2).sum(1).max()), pivots)
+    for i in range(0, 8000, 400):
+        want = sorted((-(x @ x[i]))[np.arange(8000) != i])[:5]
+        assert [-s for s, _ in table.best(i, x[i], 5)] == want
+    assert table.evaluated < 0.1 * table.asked
