@@ -6,8 +6,8 @@ longest non-overlapping ones are marked as tiles, and the length is lowered unti
 tokens is left. Tiles may lie in any order, so reordered passages are caught. An item's coverage is the
 share of its tokens in tiles; a document with an item covered to THRESHOLD or more is contaminated.
 
-The benchmark passes in blocks of BLOCK_TOKENS tokens at most (one item at least), which bounds what a
-task holds however large the benchmark is; documents are never shuffled. Items shorter than SEED tokens
+The benchmark passes in blocks of BLOCK_TOKENS tokens at most (one item at least), files in the shared folder;
+the driver and each task hold one block at a time, however large the benchmark is. Documents are never shuffled. Items shorter than SEED tokens
 are one seed, if they have any. Null or empty items and texts match nothing. Repeated items give the
 smallest item_id. Columns of any other name are kept as they are.
 """
@@ -21,6 +21,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def tokens(text: str | None) -> list[bytes]:
     return low.encode("utf-8", "surrogatepass").translate(_ASCII).split()
 
 
-def _windows(x: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]:
+def _windows(x: list[int], free: bytearray, s: int) -> Iterator[tuple[int, int]]:
     """(hash, place) of each run of s free tokens, the hash rolled from one to the next."""
     top = pow(_BASE, s - 1, _MOD)
     h = run = 0
@@ -59,37 +61,67 @@ def _windows(x: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]
             yield h, i - s + 1
 
 
+def _free_runs(free: bytearray) -> list[int]:
+    """How many free places follow each one, its own included."""
+    out, run = [0] * len(free), 0
+    for i in range(len(free) - 1, -1, -1):
+        run = run + 1 if free[i] else 0
+        out[i] = run
+    return out
+
+
+def _common(a: list[int], i: int, b: list[int], j: int, most: int) -> int:
+    """The length, up to most, of the common prefix of a[i:] and b[j:]: by doubling, then by halves."""
+    n, step = 0, 4
+    while n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+        step *= 2
+    low, high = n, min(most, n + step)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[i + low : i + middle] == b[j + low : j + middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def tile(doc: list[int], item: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, length) of greedy string tiling by running Karp-Rabin."""
-    free_d, free_i = [True] * len(doc), [True] * len(item)
+    """Tiles (place in doc, place in item, length) of greedy string tiling by running Karp-Rabin.
+
+    A match that can start a place earlier is found there, so an item's places are kept by the token before
+    them, and those with the document's own one are passed over together: repeated tokens give no pairs.
+    """
+    free_d, free_i = bytearray(b"\1" * len(doc)), bytearray(b"\1" * len(item))
     tiles: list[tuple[int, int, int]] = []
     least = max(1, min(least, len(item)))
     s = max(least, min(len(item), 64))
     while True:
-        table = defaultdict(list)
+        table: dict[int, dict[int | None, list[int]]] = {}
         for h, p in _windows(item, free_i, s):
-            table[h].append(p)
+            before = item[p - 1] if p and free_i[p - 1] else None
+            table.setdefault(h, {}).setdefault(before, []).append(p)
         found: list[tuple[int, int, int]] = []
-        longest = 0
-        for h, d in _windows(doc, free_d, s) if table else ():
-            for p in table.get(h, ()):
-                # A match that starts before is found there and holds this one.
-                if d and p and free_d[d - 1] and free_i[p - 1] and doc[d - 1] == item[p - 1]:
-                    if doc[d : d + s] == item[p : p + s]:
-                        continue
-                n = 0
-                while d + n < len(doc) and p + n < len(item) and free_d[d + n] and free_i[p + n] and doc[d + n] == item[p + n]:
-                    n += 1
-                if n >= s:
-                    found.append((-n, d, p))
-                    longest = max(longest, n)
+        if table:
+            run_d, run_i = _free_runs(free_d), _free_runs(free_i)
+            for h, d in _windows(doc, free_d, s):
+                places = table.get(h)
+                if not places:
+                    continue
+                before = doc[d - 1] if d and free_d[d - 1] else None
+                for token, ps in places.items():
+                    if token is None or token != before:
+                        for p in ps:
+                            n = _common(doc, d, item, p, min(run_d[d], run_i[p]))
+                            if n >= s:
+                                found.append((-n, d, p))
         found.sort()
         again = False
         for n, d, p in found:
             n = -n
-            if all(free_d[d : d + n]) and all(free_i[p : p + n]):
-                free_d[d : d + n] = [False] * n
-                free_i[p : p + n] = [False] * n
+            if 0 not in free_i[p : p + n] and 0 not in free_d[d : d + n]:
+                free_d[d : d + n] = bytes(n)
+                free_i[p : p + n] = bytes(n)
                 tiles.append((d, p, n))
             else:
                 again = True  # a part of it may still be free
@@ -185,14 +217,29 @@ def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[list[tuple[int,
         yield held
 
 
-def _against(block):
-    held: list[Index] = []
+def _against(uris: list[str]):
+    held: dict[int, Index] = {}
+
+    def index(k: int) -> Index:
+        """One block at a time; the last one stays for the next batch, which begins with it."""
+        if k not in held:
+            held.clear()
+            fs, path = pafs.FileSystem.from_uri(uris[k])
+            with fs.open_input_file(path) as source:
+                table = pa.ipc.open_file(source).read_all()
+            held[k] = Index(list(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
+        return held[k]
 
     @F.pandas_udf("coverage double, item_id long, n_tiled int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        if not held:
-            held.append(Index(block.value))
-        best = [held[0].best(t) for t in texts]
+        best: list[tuple[float, int | None, int]] = [(0.0, None, 0)] * len(texts)
+        for k in sorted(range(len(uris)), reverse=len(uris) - 1 in held):
+            own = index(k)
+            for i, t in enumerate(texts):
+                x = own.best(t)
+                # The highest coverage, and of equal ones the smaller item.
+                if x[0] > best[i][0] or (x[1] is not None and x[0] == best[i][0] > 0 and (best[i][1] is None or x[1] < best[i][1])):
+                    best[i] = x
         items = pd.array([b[1] for b in best], dtype="Int64")
         return pd.DataFrame({"coverage": [b[0] for b in best], "item_id": items, "n_tiled": np.array([b[2] for b in best], dtype=np.int32)})
 
@@ -201,16 +248,18 @@ def _against(block):
 
 def coverage(text: Column, spark: SparkSession, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Column:
     """A struct: coverage of the item covered best, item_id, n_tiled."""
-    found = []
+    folder = shared.scratch_path(spark, "benchmark")
+    uris = []
     for block in blocks(benchmark, block_tokens):
-        found.append(_against(spark.sparkContext.broadcast(block))(text))
-    if not found:
+        uris.append(f"{folder}/{len(uris)}.arrow")
+        fs, path = pafs.FileSystem.from_uri(uris[-1])
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        table = pa.table({"item_id": pa.array([i for i, _ in block], pa.int64()), "text": pa.array([t for _, t in block], pa.string())})
+        with fs.open_output_stream(path) as out, pa.ipc.new_file(out, table.schema) as writer:
+            writer.write_table(table)
+    if not uris:
         return F.struct(F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_tiled"))
-    # The highest coverage, and of equal ones the smaller item: blocks are in that order.
-    best = found[0]
-    for f in found[1:]:
-        best = F.when(f["coverage"] > best["coverage"], f).otherwise(best)
-    return best
+    return _against(uris)(text)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -71,3 +71,13 @@ def test_planted_passages_are_found(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         if any(b in (r.text or "") for b in bench):
             assert rows[r.doc_id].contaminated
+
+
+def test_repeated_tokens_take_no_quadratic_time():
+    import time
+
+    began = time.perf_counter()
+    assert sum(t[2] for t in dc.tile([1] * 200_000, [1] * 800)) == 800
+    assert sum(t[2] for t in dc.tile([1, 2] * 20_000, [1] * 300 + [1, 2] * 100 + [2] * 300)) == 200
+    assert time.perf_counter() - began < 5
+    assert brute_coverage("a a a b a a " * 4, "a a b a a a a a b") == sum(t[2] for t in dc.tile([1, 1, 1, 2, 1, 1] * 4, [1, 1, 2, 1, 1, 1, 1, 1, 2])) / 9
