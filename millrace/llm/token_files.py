@@ -116,10 +116,10 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-#: ASCII punctuation (but the apostrophe) after a letter is a token boundary.
-_POINTS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: A run that ends in a letter a-z and ASCII punctuation (but the apostrophe): a token boundary parts them.
+_POINTED = r"^(?P<word>.*[a-z])(?P<points>[!-&(-/:-@\[-`{-~]+)$"
 #: Distinct runs an encoder keeps, and bytes of text it takes at once; either only bounds memory.
-KNOWN_RUNS, TEXT_BYTES = 1_000_000, 10 << 20
+KNOWN_RUNS, TEXT_BYTES = 2_000_000, 12 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -142,11 +142,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
-    def _keep(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, runs: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Adds runs that aren't known, with their ids in turn; their places."""
         n, m = len(self.known), len(runs)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
@@ -156,48 +157,58 @@ class Encoder:
         self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + m] = sizes
         self.used += len(ids)
-        self.known.update(zip(runs, range(n, n + m)))
+        self.known = pa.concat_arrays([self.known, runs])
+        return np.arange(n, n + m)
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found], np.int64)
 
-    def _learn(self, runs: list[str]) -> None:
-        """Encodes new runs."""
-        words = [r for r in runs if r.isalpha()]
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.word_end[ids])
-            sizes = np.diff(ends, prepend=-1)
-            if len(ends) != len(part) or ends[-1] != len(ids) - 1:
-                ids, sizes = self._one_by_one(part)
-            self._keep(part, ids, sizes)
-        rest = [r for r in runs if not r.isalpha()]  # the empty run beside white space, too
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            self._keep(part, *self._one_by_one(part))
-
-    def _slots(self, runs: list[str]) -> np.ndarray:
+    def _learn(self, runs: pa.Array) -> np.ndarray:
+        """Encodes new runs; their places."""
+        places = np.empty(len(runs), np.int64)
+        letters = pc.utf8_is_alpha(runs).to_numpy(zero_copy_only=False)
+        for which in (letters, ~letters):
+            which = np.flatnonzero(which)
+            for at in range(0, len(which), 5000):
+                own = which[at : at + 5000]
+                part = runs.take(pa.array(own))
+                strings = part.to_pylist()
+                ids = ends = np.empty(0, np.int64)
+                if letters[own[0]]:
+                    ids = np.array(self.tokenizer.encode(" ".join(strings), add_special_tokens=False).ids, np.uint32)
+                    ends = np.flatnonzero(self.word_end[ids])
+                sizes = np.diff(ends, prepend=-1)
+                if len(ends) != len(own) or ends[-1] != len(ids) - 1:
+                    ids, sizes = self._one_by_one(strings)
+                places[own] = self._keep(part, ids, sizes)
+        return places
+
+    def _places(self, runs: pa.Array) -> np.ndarray:
+        """Of different runs."""
         if len(self.known) > KNOWN_RUNS:
             self._forget()
-        new = [r for r in runs if r not in self.known]
-        pointed, base = [], {}
-        for r in new:
-            word = r.rstrip(_POINTS)
-            if word and len(word) < len(r) and "a" <= word[-1] <= "z":
-                pointed.append((r, word, r[len(word) :]))
-                base[word] = base[pointed[-1][2]] = None
-            else:
-                base[r] = None
-        self._learn([r for r in base if r not in self.known])
-        if pointed:
-            a = np.fromiter((self.known[x[1]] for x in pointed), np.int64, len(pointed))
-            b = np.fromiter((self.known[x[2]] for x in pointed), np.int64, len(pointed))
-            pairs = np.column_stack([a, b]).ravel()
-            ids, _ = self._gather(pairs)
-            self._keep([x[0] for x in pointed], ids, self.sizes[a] + self.sizes[b])
-        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        found = pc.index_in(runs, value_set=self.known)
+        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        at = np.flatnonzero(places < 0)
+        if not len(at):
+            return places
+        new = runs.take(pa.array(at))
+        split = pc.extract_regex(new, _POINTED)
+        pointed = split.is_valid().to_numpy(zero_copy_only=False)
+        word, points = (split.filter(pa.array(pointed)).field(k) for k in (0, 1))
+        parts = pa.concat_arrays([new.filter(pa.array(~pointed)), word, points]).dictionary_encode()
+        own = pc.index_in(parts.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(own < 0)
+        own[missing] = self._learn(parts.dictionary.take(pa.array(missing)))
+        own = own[parts.indices.to_numpy()]
+        k, m = len(new) - int(pointed.sum()), int(pointed.sum())
+        places[at[~pointed]] = own[:k]
+        if m:
+            a, b = own[k : k + m], own[k + m :]
+            ids, _ = self._gather(np.column_stack([a, b]).ravel())
+            places[at[pointed]] = self._keep(new.filter(pa.array(pointed)), ids, self.sizes[a].astype(np.int64) + self.sizes[b])
+        return places
 
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these runs in turn, and where each ends."""
@@ -209,16 +220,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; nulls are empty."""
-        texts = texts.fill_null("")
+        texts = texts.cast(pa.string()).fill_null("")
         special = pc.match_substring(texts, "<|")
         has = pc.any(special).as_py()
         plain = pc.if_else(special, "", texts) if has else texts
         runs = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         offsets = runs.offsets.to_numpy().astype(np.int64)
         words = runs.flatten().dictionary_encode()
-        own = words.dictionary.to_pylist()
-        slots = self._slots(own)
-        ids, ends = self._gather(slots[words.indices.to_numpy()])
+        places = self._places(words.dictionary)
+        ids, ends = self._gather(places[words.indices.to_numpy()])
         ends = np.concatenate([[0], ends])
         cuts = ends[offsets - offsets[0]]
         for i in range(len(texts)):

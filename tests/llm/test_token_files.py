@@ -79,3 +79,40 @@ def test_reader_takes_only_the_frames_asked_for():
     where = int(np.flatnonzero(bad.index["frame"] == 3)[0])
     with pytest.raises(Exception):
         bad.document(where)
+
+
+def test_any_zstandard_reader_gets_the_ids_in_order():
+    import zstandard
+
+    out = io.BytesIO()
+    writer = token_files.FileWriter(out, frame_bytes=200)
+    docs = [np.arange(n, dtype=np.uint32) for n in (3, 0, 90, 400, 1)]
+    for i, d in enumerate(docs):
+        writer.add(i, d)
+    writer.close()
+    assert out.getvalue()[-4:] == (0x8F92EAB1).to_bytes(4, "little")
+    raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read()
+    assert raw == b"".join(d.tobytes() for d in docs)
+
+
+def test_files_of_lost_attempts_are_removed(spark):
+    import os
+
+    docs = spark.createDataFrame([(1, "x y"), (2, "z")], "doc_id long, text string")
+    folder = shared.scratch_path(spark, "lost")
+    os.makedirs(folder)
+    open(f"{folder}/{'0' * 32}.ids", "wb").write(b"half a file")
+    manifest = token_files.write_files(docs, PATH, folder, 2)
+    left = {n for n in os.listdir(folder) if n.endswith(".ids")}
+    assert left == {r.uri.rpartition("/")[2] for r in manifest.collect()}
+
+
+def test_a_forgetful_encoder_gives_the_same_ids(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "KNOWN_RUNS", 3)
+    own, plain = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["One, two; three!! four? fi've.", "six's seven-eight nine... İstanbul ǅ ﬁn áb", " ".join(f"w{i}x," for i in range(50)), "", "one, two"]
+    for _ in range(3):
+        got = [x.tolist() for x in own.encode(pa.array(texts))]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
