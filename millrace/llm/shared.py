@@ -50,6 +50,18 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Rows of a few numbers each that are small enough to broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_narrow(wide: DataFrame, narrow: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join with a written table of a few numbers a row: broadcast if it has BROADCAST_ROWS at most, else shuffled.
+
+    So whole texts are only shuffled where the table is too large to go to each of them.
+    """
+    return wide.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow, key, how)
+
+
 def fresh(df: DataFrame, *labels: str) -> list[str]:
     """Names like labels for helper columns that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

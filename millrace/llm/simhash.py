@@ -302,15 +302,13 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def link_similar(members: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between the ids of members (c, id, f0 .., n, s) of one c whose sets are similar.
+    """Edges (a, b) between the ids of members (c, id, tiles, f0 .., n, s) of one c whose sets are similar.
 
     Only pairs within radius are computed, and of these only such as no links connect yet. The members
     of one c are dealt into tiles, each pair of tiles a key of its own.
     """
     f = [f"f{i}" for i in range(words)]
-    sizes = members.groupBy("c").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
-    tiles = F.greatest(F.ceil(F.col("count") / SET_TILE), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
-    rows = members.join(sizes.select("c", tiles.alias("tiles")), "c")
+    rows = members
     rows = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("c", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), (F.col("t") > F.col("o")).alias("second"), "id", *f, "s")
@@ -363,20 +361,27 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
     distinct = shared.written(prints.groupBy("id", *f, "n").agg(F.min(order).alias("first")), "distinct")
     near = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
-    near = shared.written(near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", F.col("first._row").alias("_row")), "id"), "near")
+    near = near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", "n", F.col("first._row").alias("_row")), "id")
+    near = shared.written(near, "near")
+    sizes = near.groupBy("c").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    tiles = F.greatest(F.ceil(F.col("count") / SET_TILE), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
+    near = shared.written(near.join(sizes.select("c", tiles.alias("tiles")), "c").select("c", "id", "tiles", "_row"), "near")
     # The sets of candidates alone are computed again, rather than all sets written.
     twice = shared.written(prints.groupBy("_row").count().filter("count > 1").select("_row"), "twice")
     again = not twice.isEmpty()
-    texts = rows.select(F.col(row).alias("_row"), "text").join(near, "_row")
-    texts = (texts.dropDuplicates(["id"]) if again else texts).select("c", "id", "text")
-    members = shared.written(fingerprints(texts, ["c", "id"], shingle, WIDE_WORDS, sets=True), "members")
+    texts = shared.join_narrow(rows.select(F.col(row).alias("_row"), "text"), near, "_row")
+    texts = (texts.dropDuplicates(["id"]) if again else texts).select("c", "id", "tiles", "text")
+    members = fingerprints(texts, ["c", "id", "tiles"], shingle, WIDE_WORDS, sets=True)
     found = shared.components(link_similar(members, WIDE_WORDS, FOUR_RADIUS, similarity))
-    of = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("component", "id").alias("c"), "first")
-    stay = shared.written(of.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row)).distinct(), "stay")
-    kept = rows.join(stay, row, "left_semi")
+    of = distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("component", "id").alias("c"), "first")
+    of = shared.written(of, "groups")
+    stay = of.groupBy("c").agg(F.min("first").alias("stay")).select("c", F.col("stay._row").alias("stay"))
+    of = of.join(stay, "c").select("id", "stay")
+    gone = prints.select("id", "_row").join(of, "id").filter("_row <> stay").select(F.col("_row").alias(row)).distinct()
+    kept = shared.join_narrow(rows, shared.written(gone, "gone"), row, "left_anti")
     if again:  # rows with one id and one text share a number; one of them stays, and others aren't shuffled
         same = twice.withColumnRenamed("_row", row)
-        kept = kept.join(same, row, "left_anti").unionByName(kept.join(same, row, "left_semi").dropDuplicates([row]))
+        kept = shared.join_narrow(kept, same, row, "left_anti").unionByName(shared.join_narrow(kept, same, row, "left_semi").dropDuplicates([row]))
     return kept.select(*columns)
 
 
