@@ -14,13 +14,16 @@ forward and backward passes cross them by a power of one matrix; the marginals a
 chain. A logistic function of the expected number of toxic tokens and of the largest marginal turns them
 into the score; spans are runs of characters of tokens whose marginal is at least one half.
 
+Tokens are runs of letters and digits, lower-cased, for learning and scoring alike.
+
 Null and empty texts get the score of a text without a word of the vocabulary. Labels of null value or
 without a document are ignored, repeated ones count once each; without labels of both kinds all scores are
-0. Repeated rows are scored alike. Score inputs are the text alone.
+0. Repeated rows are scored alike. Score inputs are the text alone. op3's held_out is null where doc_id is.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -31,14 +34,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The sample of labelled rows is bounded by these, the vocabulary by the third.
-TOXIC_ROWS, CLEAN_ROWS, VOCABULARY = 3000, 6000, 1000
+#: The sample of labelled rows is bounded by these; all else follows from whole texts of the sample.
+TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 _WORD = re.compile(r"[^\W_]+")
 _HALF = 5
-#: Beginnings of words have at least this many letters, at most the second number, or are whole words.
+#: The features of a word: its beginnings of so many letters, and the whole word.
 STEM, STEM_MOST = 4, 12
 
 
@@ -52,23 +56,32 @@ class Model:
 
 
 def _beginnings(word: str) -> list[str]:
-    return [word[:n] for n in range(STEM, min(len(word), STEM_MOST + 1))] + [word[:64]]
+    return [word[:n] for n in range(STEM, min(len(word), STEM_MOST + 1))] + [word]
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, t, n) of each beginning: toxic documents and all documents with it; of "": contexts instead."""
+    """(w, t, n) of each beginning: toxic documents and all documents with it."""
     for batch in batches:
         both: tuple[Counter, Counter] = (Counter(), Counter())
-        contexts: tuple[set, set] = (set(), set())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = _WORD.findall((text or "").lower())
-            contexts[toxic].update(map(hash, zip(w, ["", *w[:-1]], [*w[1:], ""])))
             both[toxic].update(set(chain.from_iterable(map(_beginnings, set(w)))))
-        keys = ["", *(both[0].keys() | both[1].keys())]
-        both[0][""], both[1][""] = len(contexts[0]), len(contexts[1])
+        keys = list(both[0].keys() | both[1].keys())
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([both[1][k] for k in keys], pa.int64()), pa.array([both[0][k] + both[1][k] for k in keys], pa.int64())], names=["w", "t", "n"])
 
 
+def _all_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, toxic): hashes of all words with their neighbours, each at least once."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        found: tuple[set, set] = (set(), set())
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            w = _WORD.findall((text or "").lower())
+            found[toxic].update(zip(["", *w[:-1]], w, [*w[1:], ""]))
+        h = [digest(" ".join(c)) - (1 << 63) for x in found for c in x]
+        yield pa.record_batch([pa.array(h, pa.int64()), pa.array([0] * len(found[0]) + [1] * len(found[1]), pa.int32())], names=["h", "toxic"])
+
+
 def _contexts_of(candidates: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,21 +111,23 @@ def vocabulary(sample: DataFrame) -> list[str]:
     share = rows.agg(F.avg("toxic")).first()[0]
     if not share or share == 1:
         return []
-    first = counts.filter((F.col("w") == "") | ((F.col("t") >= 2) & (F.col("t") / F.col("n") > (1 + share) / 2)))
-    found = first.orderBy(F.col("w") != "", F.desc("t"), "w").limit(20 * VOCABULARY + 1).collect()
-    if not found or found[0].w or not 0 < found[0].t < found[0].n:
+    found = counts.filter((F.col("t") >= 2) & (F.col("t") / F.col("n") > (1 + share) / 2)).select("w").collect()
+    whole = {r.toxic: r["count"] for r in rows.mapInArrow(_all_contexts, "h long, toxic int").distinct().groupBy("toxic").count().collect()}
+    if not found or not (whole.get(0) and whole.get(1)):
         return []
-    p = found[0].t / found[0].n
-    contexts = rows.mapInArrow(_contexts_of(frozenset(r.w for r in found[1:])), "w string, before string, after string, toxic int").distinct()
+    p = whole[1] / (whole[0] + whole[1])
+    contexts = rows.mapInArrow(_contexts_of(frozenset(r.w for r in found)), "w string, before string, after string, toxic int").distinct()
     toxic = F.col("toxic") == 1
     # An edit in one of many copies changes the neighbours on one side only, so both sides must differ.
     side = F.least(F.countDistinct(F.when(toxic, F.col("before"))), F.countDistinct(F.when(toxic, F.col("after"))))
     tested = contexts.groupBy("w").agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n"), side.alias("side"))
     passed = tested.filter((F.col("side") >= 6) & (F.col("t") / F.col("n") > (1 + p) / 2)).collect()
     best: list[str] = []
+    begun: set[str] = set()  # all beginnings of what is in best
     for s, _, w in sorted((_tail(r.t, r.n, p), -len(r.w), r.w) for r in passed):
-        if s < math.log(1e-6) and len(best) < VOCABULARY and not any(w.startswith(x) or x.startswith(w) for x in best):
+        if s < math.log(1e-6) and w not in begun and not any(w[:n] in best for n in range(1, len(w))):
             best.append(w)
+            begun.update(w[:n] for n in range(1, len(w) + 1))
     return best
 
 
@@ -178,10 +193,21 @@ class Tagger:
             self.automaton.make_automaton()
         self.move = np.exp(model.moves)
         self.step = self.move * np.exp([0.0, model.weights[-1]])  # over a token of another word
-        self.powers = [np.eye(2)]
-        while len(self.powers) < 400:
-            p = self.powers[-1] @ self.step
-            self.powers.append(p / p.sum())
+        self.squares = [self.step / self.step.sum()]  # of the step, to its powers of two
+
+    @functools.lru_cache(maxsize=4096)
+    def power(self, n: int) -> np.ndarray:
+        """The step to the power n, up to a factor, by squaring."""
+        out, k = np.eye(2), 0
+        while n:
+            if k == len(self.squares):
+                p = self.squares[-1] @ self.squares[-1]
+                self.squares.append(p / p.sum())
+            if n & 1:
+                out = out @ self.squares[k]
+            n >>= 1
+            k += 1
+        return out / out.sum()
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(word, tokens since the hit before, first and last offset) of each hit."""
@@ -197,7 +223,7 @@ class Tagger:
                 continue
             while end + 1 < len(low) and low[end + 1].isalnum():  # to the end of the word
                 end += 1
-            gap = low.count(" ", last, start) + low.count("\n", last, start)
+            gap = len(_WORD.findall(low, last, start))
             out.append((i, gap, start, end + 1))
             last = start
         return out
@@ -206,8 +232,8 @@ class Tagger:
         """The chance of the toxic tag at each hit, given the whole chain."""
         if not hits:
             return []
-        power = lambda n: self.powers[min(max(n, 0), len(self.powers) - 1)]
-        rest = text.count(" ", hits[-1][2]) + text.count("\n", hits[-1][2])
+        power = self.power
+        rest = len(_WORD.findall(text, hits[-1][3]))
         emit = [np.array([1.0, math.exp(self.model.weights[h[0]])]) for h in hits]
         f = np.exp(self.model.begin)
         if hits[0][1]:
@@ -323,4 +349,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = fit(documents, labels.filter(~held_out))
     rows = documents.select("doc_id", held_out.alias("held_out"), tag(F.col("text"), model).alias("t"))
-    return rows.select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.7).cast("int").alias("predicted"), F.size("t.spans").alias("n_spans"))
+    return rows.select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.7).cast("int").alias("predicted"), F.size("t.spans").alias("n_spans"), "t.spans")

@@ -51,3 +51,40 @@ def test_odd_rows(spark):
     rows = docs.select(tx.tag(F.col("text"), model).alias("t")).select("t.score").collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert docs.limit(0).select(tx.tag(F.col("text"), model).alias("t")).collect() == []
+
+
+def test_marginals_hold_for_any_gap_and_white_space():
+    model = tx.Model(words=["bad"], weights=np.array([1.2, -0.02]), moves=np.array([[3.0, -3.0], [-3.0, 3.0]]), begin=np.array([0.0, 0.3]))
+    tagger = tx.Tagger(model)
+    seen = set()
+    for gap in (1, 2, 399, 2000, 20000):
+        for text in ("bad " + "word " * (gap - 1) + "bad end", "bad,\t" + "word  -\r\n" * (gap - 1) + "bad end"):
+            hits = tagger.hits(text)
+            ids = [0] + [1] * (gap - 1) + [0, 1]
+            emit = np.zeros((1, len(ids), 2))
+            emit[0, :, 1] = model.weights[ids]
+            _, m, _ = tx._passes(emit, model.moves, model.begin)
+            got = tagger.marginals(hits, text)
+            assert np.allclose(got, m[0, [0, gap], 1])
+        seen.add(round(got[0], 6))
+    assert len(seen) > 3
+
+
+def test_query_matches_brute_force(spark, sf):
+    """The scores of the query are those of whole chains, token by token, under the fitted model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    model = tx.fit(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    rows = {r.doc_id: r for r in tx.op3_toxicity(spark, sf).collect()}
+    number = {w: i for i, w in enumerate(model.words)}
+    for d in docs.collect():
+        words = [w.lower() for w in tx._WORD.findall(d.text or "")]
+        ids = [next((number[w[:n]] for n in range(1, len(w) + 1) if w[:n] in number), len(number)) for w in words]
+        p = np.empty(0)
+        if ids:
+            emit = np.zeros((1, len(ids), 2))
+            emit[0, :, 1] = model.weights[ids]
+            p = tx._passes(emit, model.moves, model.begin)[1][0, np.array(ids) < len(number), 1]
+        a, b = tx._inputs(p.tolist())
+        assert rows[d.doc_id].score == pytest.approx(1 / (1 + np.exp(-(model.score @ [1.0, a, b]))), abs=1e-9)
+        assert rows[d.doc_id].n_spans == (p >= 0.5).sum() == len(rows[d.doc_id].spans)
