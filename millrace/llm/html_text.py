@@ -1,11 +1,14 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A linear classifier gives each the log-odds of being content, from
-its ancestors (elements, roles, class and id words), the share of its characters in links, its length and
-its end. The costs of either label are the capacities to the two terminals. Smoothness edges join blocks
-that follow each other, weaker the farther apart their parents are in the tree, and successive blocks of
-one container even where something else stands between them. The minimum cut, by augmenting paths after
-direct flows are cancelled, separates content from boilerplate; its content blocks are the text.
+A page becomes a row of text blocks. A classifier gives each the log-odds of being content, in two parts. The
+first comes from the place: articles and main parts, the class and id words of ancestors, and elements and
+roles of navigation, forms and the like. The second comes from the text: its share of characters in links, its
+length, its end and its element; it is a logistic regression, fitted on a bounded sample of pages to the blocks
+whose place says what they are, so it speaks for blocks whose place says nothing. The costs of either label are
+the capacities to the two terminals. Smoothness edges join blocks that follow each other, weaker the farther
+apart their parents are in the tree, and successive blocks of one container even where something else stands
+between them. The minimum cut, by augmenting paths after direct flows are cancelled, separates content from
+boilerplate; its content blocks are the text.
 
 Null and empty pages, and pages without content, give an empty text. Markup may be broken: unclosed
 elements end with their container, unmatched ends are ignored, an unclosed comment, script or style runs
@@ -17,15 +20,19 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|[^<]++|<", re.S)
+_REST = re.compile(r"<!--.*|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video", "button"}
+_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "canvas", "audio", "video", "button"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCK - {"html", "head", "body", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
@@ -34,28 +41,33 @@ _BOUNDARY = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "ma
 _BAD_TAG = {"nav", "aside", "footer", "form", "menu", "dialog", "search", "head", "fieldset"}
 _BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar", "status"}
 _BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|topbar|footer|sidebar\w*|side|rail|widgets?|related|recommend\w*|more-?stories|shar(?:e|ing)|social|comments?|commentlist|replies|reply|respond|discussion|disqus|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|paywall|pagination|pager|copyright|legal|disclaimer|toolbar|skip|feedback|reviews?)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|topbar|footer|sidebar\w*|widgets?|related|recommend\w*|more-?stories|shar(?:e|ing)|social|comments?|commentlist|replies|reply|respond|discussion|disqus|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|paywall|pagination|pager|toolbar|skip)(?=$|[\s_-])",
     re.I,
 )
+#: These are boilerplate only outside of articles.
+_WEAK_WORD = re.compile(r"(?:^|[\s_-])(?:side|rail|search|copyright|legal|disclaimer|feedback|reviews?)(?=$|[\s_-])", re.I)
 _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|posts?|entry|story|body|text|prose|maintext)(?=$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "odds", "path", "parent")
+    """A text, the odds that its place gives it, what the text says, and the elements around it."""
 
-    def __init__(self, text: str, odds: float, path: tuple[int, ...]) -> None:
-        self.text, self.odds, self.path = text, odds, path
+    __slots__ = ("text", "place", "features", "top")
+
+    def __init__(self, text: str, place: float, features: tuple[float, ...], top: _Open) -> None:
+        self.text, self.place, self.features, self.top = text, place, features, top
 
 
 class _Open:
-    __slots__ = ("tag", "number", "bad", "good", "article", "hidden")
+    __slots__ = ("tag", "up", "depth", "bad", "good", "article", "hidden")
 
-    def __init__(self, tag, number, bad, good, article, hidden):
-        self.tag, self.number, self.bad, self.good, self.article, self.hidden = tag, number, bad, good, article, hidden
+    def __init__(self, tag, up, bad, good, article, hidden):
+        self.tag, self.up, self.bad, self.good, self.article, self.hidden = tag, up, bad, good, article, hidden
+        self.depth = up.depth + 1 if up else 0
 
 
-def _enter(tag: str, attributes: str, number: int, above: _Open) -> _Open:
+def _enter(tag: str, attributes: str, above: _Open) -> _Open:
     bad, good, article, hidden = above.bad, above.good, above.article, above.hidden
     if tag in ("article", "main"):
         article = True
@@ -73,18 +85,17 @@ def _enter(tag: str, attributes: str, number: int, above: _Open) -> _Open:
                 hidden = True
         if words and tag not in ("html", "body"):
             joined = " ".join(words)
-            if _BAD_WORD.search(joined) and not (tag in ("article", "main") or (article and tag in ("h1", "header"))):
+            if (_BAD_WORD.search(joined) or (not article and _WEAK_WORD.search(joined))) and not (tag in ("article", "main") or (article and tag in ("h1", "header"))):
                 own_bad = True
             elif _GOOD_WORD.search(joined):
                 good = True
-    return _Open(tag, number, bad + own_bad, good, article, hidden)
+    return _Open(tag, above, bad + own_bad, good, article, hidden)
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    root = _Open("", 0, 0, False, False, False)
+    root = _Open("", None, 0, False, False, False)
     stack = [root]
-    number = 0
     parts: list[str] = []
     linked = link = 0
     raw_until = None
@@ -95,15 +106,19 @@ def blocks(page: str) -> list[Block]:
         if text:
             top = stack[-1]
             if not top.hidden:
-                out.append(Block(text, odds(top, text, min(1.0, linked / max(1, sum(map(len, parts))))), tuple(o.number for o in stack)))
+                links = min(1.0, linked / max(1, sum(map(len, parts))))
+                out.append(Block(text, place_odds(top), text_features(top, text, links), top))
         parts.clear()
         linked = 0
 
-    at = 0
+    at, end_of_tags = 0, page.rfind(">")
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        if at > end_of_tags:  # nothing closes any more
+            m = _REST.match(page, at)
+        else:
+            m = _TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
+        tag = m[2] if m.re is _TOKEN else None
         if tag is None:
             token = m[0]
             if token[0] != "<" or len(token) == 1:
@@ -153,23 +168,72 @@ def blocks(page: str) -> list[Block]:
                     if stack[k].tag in _BOUNDARY:
                         break
             if tag not in _VOID:
-                number += 1
-                stack.append(_enter(tag, m[3], number, stack[-1]))
+                stack.append(_enter(tag, m[3], stack[-1]))
     flush()
     return out
 
 
-#: The classifier's weights: log-odds of content.
-_TEXT_TAGS = {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "td": 0.0, "h1": 0.8, "h2": 0.5, "h3": 0.5, "h4": 0.3, "h5": 0.3, "h6": 0.3, "li": 0.0, "dd": 0.0}
+_TEXT_TAGS = {"p", "blockquote", "pre"}
+_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_ITEMS = {"li", "dd", "dt", "td", "th"}
+#: Weights of text_features, and of smoothness, where a sample can't give any; bounds of the latter.
+PRIOR = (-0.8, -4.0, 1.0, 0.5, -0.3, 1.0, 0.5, 0.0, 1.0)
+SMOOTH = (0.5, 2.0)
+#: Pages that the weights are fitted on, at most, and blocks of either kind that they need, at least.
+SAMPLE_PAGES, LEAST_BLOCKS = 2000, 50
+
 
+def place_odds(place: _Open) -> float:
+    return 5.0 * place.article + 2.0 * place.good - 9.0 * min(place.bad, 2)
 
-def odds(place: _Open, text: str, links: float) -> float:
+
+def text_features(place: _Open, text: str, links: float) -> tuple[float, ...]:
     words = text.count(" ") + 1
-    x = -0.8 + _TEXT_TAGS.get(place.tag, -0.2)
-    x += 5.0 * place.article + 2.0 * place.good - 9.0 * min(place.bad, 2)
-    x -= (1.0 if place.article else 4.0) * links
-    x += min(2.0, words / 12) + (0.4 if text[-1] in ".!?…:;\"”»" else -0.2)
-    return x
+    ends = text[-1] in ".!?…:;\"”»"
+    return (1.0, links, min(2.0, words / 12), float(ends), float(words < 4), float(place.tag in _TEXT_TAGS), float(place.tag in _HEADS), float(place.tag in _ITEMS))
+
+
+def odds(block: Block, weights: tuple[float, ...] = PRIOR) -> float:
+    # Articles hold links to where they quote; elsewhere links are lists of them.
+    own = sum(w * x for w, x in zip(weights, block.features))
+    return block.place + own - (weights[1] * block.features[1] * 0.75 if block.top.article else 0.0)
+
+
+def fit(pages: DataFrame) -> tuple[float, ...]:
+    """Weights for pages (page_id, html), from blocks that their place labels: logistic regression for the text, and
+    for smoothness half the log-odds with which siblings that follow each other have one label."""
+    spark = pages.sparkSession
+    ids = pages.select(F.xxhash64(F.col("page_id").cast("string")).alias("h")).orderBy("h").limit(SAMPLE_PAGES).distinct()
+    ids = spark.createDataFrame([(r.h,) for r in ids.collect()], "h long")
+    sample = pages.withColumn("h", F.xxhash64(F.col("page_id").cast("string"))).join(F.broadcast(ids), "h").select("html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for page in batch.column(0).to_pylist():
+                found = [b for b in blocks(page or "") if b.place]
+                for b in found:
+                    counts[tuple(round(x, 2) for x in b.features), int(b.place > 0)] += 1
+                for a, b in zip(found, found[1:]):
+                    if a.top.up is b.top.up:
+                        counts[(), int((a.place > 0) == (b.place > 0))] += 1
+            yield pa.record_batch([pa.array([list(k[0]) for k in counts], pa.list_(pa.float64())), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["x", "y", "n"])
+
+    rows = sample.mapInArrow(run, "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()
+    pairs = {r.y: r.n for r in rows if not r.x}
+    rows = [r for r in rows if r.x]
+    k = len(PRIOR) - 1
+    x, y, n = np.array([r.x for r in rows]).reshape(-1, k), np.array([r.y for r in rows], float), np.array([r.n for r in rows], float)
+    if min(n[y == 1].sum(), n[y == 0].sum()) < LEAST_BLOCKS:
+        return PRIOR
+    n = np.where(y == 1, 0.5 / n[y == 1].sum(), 0.5 / n[y == 0].sum()) * n  # both kinds weigh the same
+    theta, prior, keep = np.array(PRIOR[:k]), np.array(PRIOR[:k]), 0.01
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        grad = x.T @ (n * (y - p)) - keep * (theta - prior)
+        theta = theta + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + keep * np.eye(k), grad)
+    smooth = 0.5 * math.log((pairs.get(1, 0) + 1) / (pairs.get(0, 0) + 1))
+    return (*(float(t) for t in theta), min(max(smooth, SMOOTH[0]), SMOOTH[1]))
 
 
 def minimum_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -218,36 +282,49 @@ def minimum_cut(to_source: list[float], to_sink: list[float], edges: list[tuple[
     return side
 
 
-def main_text(page: str | None) -> str:
+def _apart(a: _Open, b: _Open) -> int:
+    """Steps in the tree from one element to another."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        n += 1
+    return n
+
+
+def labelled(page: str | None, weights: tuple[float, ...] = PRIOR) -> list[tuple[Block, float, bool]]:
+    """Each block with its odds and the label of the minimum cut."""
     found = blocks(page or "")
-    if not found:
-        return ""
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1]
-            shared_depth = next((k for k, (x, y) in enumerate(zip(a.path, b.path)) if x != y), min(len(a.path), len(b.path)))
-            apart = len(a.path) + len(b.path) - 2 * shared_depth
-            edges.append((i - 1, i, 0.6 * 2.0 ** (-apart / 2)))
-        container = b.path[-2] if len(b.path) > 1 else 0
+            edges.append((i - 1, i, weights[-1] * 2.0 ** (1 - max(2, _apart(found[i - 1].top, b.top)) / 2)))
+        container = id(b.top.up)
         if container in last and last[container] < i - 1:
-            edges.append((last[container], i, 0.4))
+            edges.append((last[container], i, weights[-1] / 4))
         last[container] = i
-    soft = [math.log1p(math.exp(-abs(b.odds))) for b in found]
-    keep = minimum_cut([max(b.odds, 0.0) + s for b, s in zip(found, soft)], [max(-b.odds, 0.0) + s for b, s in zip(found, soft)], edges)
-    return "\n\n".join(b.text for b, k in zip(found, keep) if k)
+    own = [odds(b, weights) for b in found]
+    soft = [math.log1p(math.exp(-abs(x))) for x in own]
+    keep = minimum_cut([max(x, 0.0) + s for x, s in zip(own, soft)], [max(-x, 0.0) + s for x, s in zip(own, soft)], edges)
+    return list(zip(found, own, keep))
+
+
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
+    return "\n\n".join(b.text for b, _, k in labelled(page, weights) if k)
 
 
-def extract(column: Column) -> Column:
+def extract(column: Column, weights: tuple[float, ...] = PRIOR) -> Column:
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p) for p in pages], dtype=object)
+        return pd.Series([main_text(p, weights) for p in pages], dtype=object)
 
     return run(column)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    rows = pages.select("page_id", "url", extract(F.col("html")).alias("text"))
+    rows = pages.select("page_id", "url", extract(F.col("html"), fit(pages)).alias("text"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
