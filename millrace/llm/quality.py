@@ -5,7 +5,9 @@ its whole text. Evidence is summed by host and by path with partial aggregation,
 third of all rows is no hot key. The host's posterior is a beta mean shrunk towards the global mean, the
 path's one shrunk towards its host; the strength of either prior comes from the variance between sites
 beyond that of sampling (method of moments), so sparse sites keep close to what stands above them. A
-document's score multiplies its odds by those of its path relative to the global ones.
+document's score multiplies its odds by those of its path relative to the global ones. Labels count as evidence
+of their site. For tables with URLs of_url gives both names. documents has none: there the source is the host,
+and the language, which is the first level of the paths of the pages table, is the path.
 
 Null hosts and paths are the empty name. Null and empty texts have the features of an empty text. Labels
 without a document are ignored; without labels of both kinds all evidence is 1/2. Repeated rows count and
@@ -126,24 +128,49 @@ def sites(scored: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "n", "host_posterior", post.alias("path_posterior")), m
 
 
+def of_url(url: Column) -> tuple[Column, Column]:
+    """The host of a URL and the first level of its path, in lower case; empty where there is none."""
+    low = F.lower(url)
+    return F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", 1), F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+
+
+#: Parts that a site's rows are dealt to where the table of sites is too large to broadcast.
+SALTS = 32
+
+
 def score(documents: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """documents with p_document, host_posterior, path_posterior and quality_score in a struct _quality.
 
-    The text is read twice: once for the sums by site, once for the scores.
+    The text is read twice: once for the sums by site, once for the scores. Labels of a site's documents count
+    in its sums beside the classifier's evidence. The table of sites is broadcast if it is small; else each
+    site's rows are dealt to SALTS parts. A column _quality (in any case of letters) is replaced.
     """
     weights = fit(documents, labels)
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    site, own, post = shared.fresh(documents, "_site", "_p", "_post")
+    site, own, post, salt = shared.fresh(documents, "_site", "_p", "_post", "_salt")
     rows = documents.withColumn(site, F.struct(name(host).alias("host"), name(path).alias("path")))
     p = evidence(F.col("text"), weights)
-    table, mean = sites(rows.select(F.col(site)["host"].alias("host"), F.col(site)["path"].alias("path"), p.alias("p")))
+    scored = rows.select(F.col(site)["host"].alias("host"), F.col(site)["path"].alias("path"), p.alias("p"))
+    table, mean = sites(scored.unionByName(_labelled(rows, labels, site)))
     table = shared.written(table.select(F.struct("host", "path").alias(site), F.struct("host_posterior", "path_posterior").alias(post)), "sites")
-    out = rows.join(table, site).withColumn(own, p)
+    if table.count() <= shared.BROADCAST_ROWS:
+        out = rows.join(F.broadcast(table), site)
+    else:
+        dealt = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(dealt, [site, salt])
+    out = out.withColumn(own, p)
     odds = _logit(F.col(own)) + _logit(F.col(post)["path_posterior"]) - _logit(F.lit(float(mean)))
     result = F.struct(F.col(own).alias("p_document"), F.col(post)["host_posterior"].alias("host_posterior"), F.col(post)["path_posterior"].alias("path_posterior"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
     return out.select(*[F.col(c) for c in documents.columns if c.lower() != "_quality"], result.alias("_quality"))
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, site: str) -> DataFrame:
+    """(host, path, p): the labels of documents as evidence of their sites, one for each pair of a label and a document."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("p")).filter("doc_id is not null and p in (0.0, 1.0)").distinct()
+    of = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(site)["host"].alias("host"), F.col(site)["path"].alias("path"))
+    return of.join(own, "doc_id").select("host", "path", "p")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
