@@ -7,9 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, portable
+from .plans import analytics, more, portable
 from .sources.tables import run_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {k: partial(run_sql, text=v) for k, v in (portable.SQL | portable.WHOLE).items()} | analytics.QUERIES
-ORACLE: dict[str, str] = portable.ORACLE | analytics.ORACLE
+QUERIES: dict[str, Query] = {k: partial(run_sql, text=v) for k, v in (portable.SQL | more.PORTABLE | portable.BETTER).items()} | analytics.QUERIES | more.QUERIES
+ORACLE: dict[str, str] = portable.ORACLE | more.PORTABLE_ORACLE | analytics.ORACLE | more.ORACLE

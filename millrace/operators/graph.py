@@ -59,6 +59,106 @@ def merged(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return out.filter("src <> dst").groupBy("src", "predicate", "dst").agg(F.max("confidence").alias("confidence"), F.min("edge_id").alias("edge_id"))
 
 
+class Graph:
+    """Nodes, aliases, edges, evidence and merge candidates as tables; every write is an idempotent upsert.
+
+    nodes (kind, key, label), key being the label normalised; edges (src_kind, src, predicate, dst_kind, dst,
+    confidence) between keys; evidence (src_kind, src, predicate, dst_kind, dst, source, quote).
+    """
+
+    EDGE = ["src_kind", "src", "predicate", "dst_kind", "dst"]
+
+    def __init__(self, spark) -> None:
+        of = lambda s: spark.createDataFrame([], s)
+        self.nodes = of("kind string, key string, label string")
+        self.aliases = of("kind string, alias string, key string")
+        self.edges = of("src_kind string, src string, predicate string, dst_kind string, dst string, confidence double")
+        self.evidence = of("src_kind string, src string, predicate string, dst_kind string, dst string, source string, quote string")
+        self.rejected = of("kind string, key string, other string")
+
+    def assert_nodes(self, rows: DataFrame) -> None:
+        """rows (kind, label): the least label of a key stays."""
+        new = rows.select("kind", normalise_label(F.col("label")).alias("key"), "label").filter("key <> ''")
+        self.nodes = shared.cut(self.nodes.unionByName(new).groupBy("kind", "key").agg(F.min("label").alias("label")))
+
+    def assert_aliases(self, rows: DataFrame) -> None:
+        """rows (kind, alias, label)."""
+        new = rows.select("kind", normalise_label(F.col("alias")).alias("alias"), normalise_label(F.col("label")).alias("key"))
+        self.aliases = shared.cut(self.aliases.unionByName(new).groupBy("kind", "alias").agg(F.min("key").alias("key")))
+
+    def resolve(self, rows: DataFrame) -> DataFrame:
+        """rows with key: of (kind, label) as it is named or by its alias, null if unknown."""
+        named = self.nodes.select("kind", F.col("key").alias("_l"), "key").unionByName(self.aliases.select("kind", F.col("alias").alias("_l"), "key"))
+        known = named.groupBy("kind", "_l").agg(F.min("key").alias("key"))
+        return rows.withColumn("_l", normalise_label(F.col("label"))).join(known, ["kind", "_l"], "left").drop("_l")
+
+    def assert_triples(self, triples: DataFrame, source: str = "source") -> None:
+        """triples (subject_kind, subject, predicate, object_kind, object, confidence, evidence, and a source column)."""
+        ends = triples.select(F.col("subject_kind").alias("kind"), F.col("subject").alias("label")).union(triples.select("object_kind", "object"))
+        self.assert_nodes(ends)
+        alias = lambda end: self.aliases.select(F.col("kind").alias(f"{end}_kind"), F.col("alias").alias(end), F.col("key").alias(f"_{end}"))
+        rows = triples.select(F.col("subject_kind").alias("src_kind"), normalise_label(F.col("subject")).alias("src"), F.regexp_replace(normalise_label(F.col("predicate")), " ", "_").alias("predicate"), F.col("object_kind").alias("dst_kind"), normalise_label(F.col("object")).alias("dst"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.col("evidence").alias("quote"), F.col(source).cast("string").alias("source"))
+        for end in ("src", "dst"):
+            rows = rows.join(alias(end), [f"{end}_kind", end], "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        rows = shared.cut(rows)
+        edges = self.edges.unionByName(rows.select(*self.EDGE, "confidence"))
+        self.edges = shared.cut(edges.groupBy(*self.EDGE).agg(F.max("confidence").alias("confidence")))
+        quotes = rows.filter("quote is not null").select(*self.EDGE, "source", "quote")
+        self.evidence = shared.cut(self.evidence.unionByName(quotes).distinct())
+
+    def suggest(self, least: float = 0.86) -> DataFrame:
+        """(kind, key, other, similarity) of pairs that were not rejected."""
+        rows = numbered_nodes(self.nodes)
+        pairs = suggest_merges(rows, least).select("kind", F.least(normalise_label(F.col("label")), normalise_label(F.col("other"))).alias("key"), F.greatest(normalise_label(F.col("label")), normalise_label(F.col("other"))).alias("other"), "similarity")
+        return pairs.join(self.rejected, ["kind", "key", "other"], "left_anti")
+
+    def reject(self, pairs: DataFrame) -> None:
+        new = pairs.select("kind", F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
+        self.rejected = shared.cut(self.rejected.unionByName(new).distinct())
+
+    def accept(self, pairs: DataFrame) -> None:
+        """Merges other into key, for pairs (kind, key, other): its label becomes an alias, its edges and evidence move."""
+        to = pairs.groupBy("kind", "other").agg(F.min("key").alias("to"))
+        gone = to.select("kind", F.col("other").alias("key"))
+        moved = to.select("kind", F.col("other").alias("alias"), F.col("to").alias("key"))
+        self.nodes = shared.cut(self.nodes.join(gone, ["kind", "key"], "left_anti"))
+        self.aliases = shared.cut(self.aliases.unionByName(moved).groupBy("kind", "alias").agg(F.min("key").alias("key")))
+
+        def at(rows: DataFrame) -> DataFrame:
+            for end in ("src", "dst"):
+                own = to.select(F.col("kind").alias(f"{end}_kind"), F.col("other").alias(end), "to")
+                rows = rows.join(own, [f"{end}_kind", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            return rows.filter(~((F.col("src_kind") == F.col("dst_kind")) & (F.col("src") == F.col("dst"))))
+
+        self.edges = shared.cut(at(self.edges).groupBy(*self.EDGE).agg(F.max("confidence").alias("confidence")))
+        self.evidence = shared.cut(at(self.evidence).distinct())
+
+    def neighbours(self, kind: str, label: str) -> DataFrame:
+        """The edges at a node with their evidence as JSON, most confident first."""
+        own = self.evidence.groupBy(*self.EDGE).agg(F.to_json(F.sort_array(F.collect_list(F.struct("source", "quote")))).alias("evidence"))
+        key = normalise_label(F.lit(label))
+        at = lambda end: (F.col(f"{end}_kind") == kind) & (F.col(end) == key)
+        return self.edges.filter(at("src") | at("dst")).join(own, self.EDGE, "left").orderBy(F.desc("confidence"), *self.EDGE)
+
+
+def numbered_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes (kind, key, label) as suggest_merges takes them; a hash stands for a number."""
+    return nodes.select("kind", F.xxhash64("kind", "key").alias("node_id"), "label")
+
+
+def crawl(table: DataFrame, rules: list[tuple[str, str, str, str, str]], graph: Graph, stop: set[str] = frozenset({"", "null", "none", "unknown", "n/a"}), source: str | None = None) -> None:
+    """Puts columns of a table into a graph: rules (subject_kind, subject column, predicate, object_kind, object column).
+
+    Values of the stop list and plain numbers name nothing and are left out.
+    """
+    word = lambda c: (~F.lower(F.trim(F.col(c).cast("string"))).isin(*sorted(stop))) & (~F.col(c).cast("string").rlike(r"^\s*[-+0-9.,]+\s*$"))
+    parts = [
+        table.filter(word(s) & word(o)).select(F.lit(sk).alias("subject_kind"), F.col(s).cast("string").alias("subject"), F.lit(p).alias("predicate"), F.lit(ok).alias("object_kind"), F.col(o).cast("string").alias("object"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("evidence"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"))
+        for sk, s, p, ok, o in rules
+    ]
+    graph.assert_triples(reduce(DataFrame.unionByName, parts).distinct())
+
+
 def walks(edges: DataFrame, start: int, depth: int, direction: str = "both") -> DataFrame:
     """(node, depth, nodes, edge_ids, confidence, edge_id) of every simple path of up to depth edges from start."""
     out = edges.select("edge_id", "confidence", F.col("src").alias("from"), F.col("dst").alias("node"))
@@ -70,7 +170,7 @@ def walks(edges: DataFrame, start: int, depth: int, direction: str = "both") ->
     for d in range(1, depth + 1):
         s = step.select("from", F.col("node").alias("next"), F.col("edge_id"), F.col("confidence").alias("c"))
         now = now.join(s, now["node"] == s["from"]).filter(~F.array_contains("nodes", F.col("next")))
-        now = now.select(F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), (F.col("confidence") * F.col("c")).alias("confidence"))
+        now = shared.cut(now.select(F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), (F.col("confidence") * F.col("c")).alias("confidence")))
         found.append(now.withColumn("depth", F.lit(d)).withColumn("edge_id", F.element_at("edge_ids", -1)))
     rows = found[0]
     for f in found[1:]:

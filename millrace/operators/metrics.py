@@ -54,6 +54,71 @@ def series(observations: DataFrame, bucket: str) -> DataFrame:
     return observations.groupBy("metric", b.alias("bucket")).agg(F.max_by("value", F.struct("at", "value")).alias("value"))
 
 
+class Observations:
+    """Values of scalar metrics as they were measured: (metric, at, value, version), kept in a folder."""
+
+    SCHEMA = "metric string, at timestamp, value double, version int"
+
+    def __init__(self, spark: SparkSession, folder: str, metrics: Metrics) -> None:
+        self.spark, self.folder, self.metrics = spark, folder, metrics
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(folder)
+
+    def materialize(self, name: str, at: str, tables: Mapping[str, DataFrame], params: Mapping[str, object] | None = None) -> float | None:
+        """Runs a metric of one row and one column, as it was defined at a time, and keeps the value."""
+        value = self.metrics.run(self.spark, name, tables, params, at).first()[0]
+        version = sum(a <= at for a, _ in self.metrics.versions[name])
+        row = self.spark.createDataFrame([(name, at, None if value is None else float(value), version)], "metric string, at string, value double, version int")
+        row.withColumn("at", F.col("at").cast("timestamp")).write.mode("append").parquet(self.folder)
+        return value
+
+    def history(self, name: str | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        return rows if name is None else rows.filter(F.col("metric") == name)
+
+    def board(self) -> DataFrame:
+        """(metric, at, value, before, change): the last value of each metric and the one before it."""
+        w = Window.partitionBy("metric").orderBy("at")
+        rows = self.history().withColumn("before", F.lag("value").over(w)).groupBy("metric").agg(F.max_by(F.struct("at", "value", "before"), "at").alias("x")).select("metric", "x.*")
+        return rows.withColumn("change", F.col("value") - F.col("before"))
+
+    def breaching(self, bounds: Mapping[str, tuple[str, float]]) -> DataFrame:
+        """The board's rows whose value isn't as their bound (gte or lte, threshold) asks."""
+        cases = [F.when(F.col("metric") == m, fails(F.col("value"), how, t)) for m, (how, t) in sorted(bounds.items())]
+        return self.board().filter(F.coalesce(*cases, F.lit(False)))
+
+
+def lineage(metrics: Metrics) -> list[tuple[str, str]]:
+    """(metric, metric that it refers to), of the newest definitions."""
+    return sorted({(n, m) for n, own in metrics.versions.items() for m in re.findall(r"\{metric:(\w+)\}", own[-1][1])})
+
+
+def fails(value, how: str, threshold: float):
+    """Whether a score breaks its threshold: gte asks for at least it, lte for at most it; null breaks neither."""
+    return F.coalesce({"gte": value < threshold, "lte": value > threshold}[how], F.lit(False))
+
+
+def states(rules: Mapping[str, tuple[str, object]], tables: Mapping[str, DataFrame], spark: SparkSession, at: int) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(rule, at, failing) of a sweep, and the errors of rules that couldn't run, which stop no other.
+
+    A rule is (status, SQL giving pass or fail), (expr, SQL giving a boolean that is true when all is well) or
+    (gte | lte, (SQL giving a score, threshold)).
+    """
+    rows, errors = [], []
+    for name, (kind, body) in sorted(rules.items()):
+        try:
+            value = spark.sql(body[0] if kind in ("gte", "lte") else body, **tables).first()[0]
+            if kind == "status":
+                failing = value == "fail"
+            elif kind == "expr":
+                failing = value is False
+            else:
+                failing = value is not None and (value < body[1] if kind == "gte" else value > body[1])
+            rows.append((name, at, bool(failing)))
+        except Exception as e:  # one rule's error is reported, the sweep goes on
+            errors.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "rule string, at long, failing boolean"), errors
+
+
 def checked(rows: DataFrame, ok: str) -> DataFrame:
     """breach is true only where the condition is false; status is fail wherever it isn't true."""
     c = F.expr(ok)
@@ -62,7 +127,7 @@ def checked(rows: DataFrame, ok: str) -> DataFrame:
 
 def freshness(tables: Mapping[str, tuple[DataFrame, str]], now: str) -> DataFrame:
     """Hours since the newest row of each table."""
-    age = (F.lit(now).cast("timestamp").cast("double") - F.col("t").cast("double")) / 3600
+    age = (F.lit(now).cast("timestamp").cast("double") - F.col("t").cast("timestamp").cast("double")) / 3600
     parts = [df.agg(F.max(c).alias("t")).select(F.lit(name).alias("table_name"), F.round(age, 2).alias("hours")) for name, (df, c) in tables.items()]
     out = parts[0]
     for p in parts[1:]:

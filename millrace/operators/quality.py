@@ -41,6 +41,25 @@ def drift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     return both.select("value", "n_before", "n_after", ((q - p) * F.log(q / p)).alias("psi"), flag.alias("flag"))
 
 
+def drift_summary(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, psi, n_new, n_lost, severity) of several columns; values are compared as strings."""
+    parts = []
+    for c in columns:
+        one = drift(before.select(F.col(c).cast("string").alias("v")), after.select(F.col(c).cast("string").alias("v")), "v")
+        parts.append(one.agg(F.lit(c).alias("column_name"), F.sum("psi").alias("psi"), F.count_if(F.col("flag") == "new").alias("n_new"), F.count_if(F.col("flag") == "lost").alias("n_lost")))
+    out = reduce(DataFrame.unionByName, parts)
+    level = F.when(F.coalesce("psi", F.lit(0.0)) < 0.1, "none").when(F.col("psi") < 0.25, "moderate").otherwise("major")
+    return out.select("column_name", "psi", "n_new", "n_lost", level.alias("severity"))
+
+
+def fingerprint(table: DataFrame, top: int = 256) -> DataFrame:
+    """profile with null_frac, and the most frequent values of each column with their counts, top at most."""
+    base = profile(table).withColumn("null_frac", F.try_divide(F.col("n_null"), F.col("n")))
+    parts = [distribution(table, c, top).agg(F.lit(c).alias("column_name"), F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "value"))).alias("x")) for c in table.columns]
+    values = reduce(DataFrame.unionByName, parts).select("column_name", F.transform("x", lambda v: F.struct(v["value"].alias("value"), (-v["n"]).alias("n"))).alias("top_values"))
+    return base.join(values, "column_name")
+
+
 def severity(psi: float | None) -> str:
     return "none" if psi is None or psi < 0.1 or math.isnan(psi) else "moderate" if psi < 0.25 else "major"
 
@@ -52,6 +71,21 @@ def first_rule(table: DataFrame, rules: list[tuple[str, int, str]]) -> DataFrame
     return table.withColumn("verdict", verdict).filter(F.col("verdict").isNotNull())
 
 
+def rule_verdicts(table: DataFrame, rules: list[tuple[str, int, str]]) -> DataFrame:
+    """As first_rule, for rules that may fail on a row or at all: such a rule gives rule_error in its place."""
+    ordered = sorted(rules, key=lambda r: (r[1], r[0]))
+
+    def verdict(name: str, condition: str, rest):
+        try:
+            table.select(F.expr(condition).cast("boolean"))
+        except Exception:  # it can't be resolved over this table
+            return F.lit("rule_error")
+        return F.when(F.expr(condition), name).otherwise(rest)
+
+    found = reduce(lambda rest, r: verdict(r[0], r[2], rest), reversed(ordered), F.lit(None).cast("string"))
+    return table.withColumn("verdict", found).filter(F.col("verdict").isNotNull())
+
+
 def inferred_keys(columns: DataFrame) -> DataFrame:
     """Edges of columns (table_name, column_name): <base>_id or <base>id to a table <base> or <base>s with an id column."""
     stem = F.regexp_extract(F.lower("column_name"), "^(.+?)_?id$", 1)

@@ -11,14 +11,35 @@ def distinct_on(table: DataFrame, keys: list[str], *order) -> DataFrame:
     return table.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
-    """Each left row with the values of the last right row of its key not after it; one shuffle, no pairs."""
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, bucket=None) -> DataFrame:
+    """Each left row with the values of the last right row of its key not after it; no pairs.
+
+    Rows are sorted within buckets of time (months, or what bucket gives of the time column), so one key is many
+    tasks; the last right row before a bucket comes from a table with a row for each key and bucket.
+    """
     values = [c for c in right.columns if c not in (key, at)]
-    l = left.withColumn("_r", F.lit(None).cast(right.select(F.struct(at, *values).alias("x")).schema["x"].dataType)).withColumn("_side", F.lit(1))
-    r = right.select(key, at, F.struct(at, *values).alias("_r")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    return both.select(*left.columns, F.col(f"_last.{at}").alias(f"matched_{at}"), *[F.col(f"_last.{c}").alias(c) for c in values])
+    kind = dict(left.dtypes)[at]
+    of = bucket or ((lambda c: F.date_trunc("month", c)) if kind.startswith(("timestamp", "date")) else (lambda c: F.floor(c / 100_000)))
+    last = F.struct(at, *values)
+    l = left.withColumn("_r", F.lit(None).cast(right.select(last.alias("x")).schema["x"].dataType)).withColumn("_side", F.lit(1))
+    r = right.select(key, at, last.alias("_r")).withColumn("_side", F.lit(0))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_b", of(F.col(at)))
+    w = Window.partitionBy(key, "_b").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
+    ends = right.withColumn("_b", of(F.col(at))).groupBy(key, "_b").agg(F.max_by(last, F.col(at)).alias("_end"))
+    ends = ends.unionByName(left.select(key, of(F.col(at)).alias("_b")).distinct(), allowMissingColumns=True).groupBy(key, "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    out = both.join(carry, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "left").withColumn("_last", F.coalesce("_last", "_carry"))
+    return out.select(*left.columns, F.col(f"_last.{at}").alias(f"matched_{at}"), *[F.col(f"_last.{c}").alias(c) for c in values])
+
+
+def visible(documents: DataFrame, roles: DataFrame, hidden: DataFrame, caller: str | None, key: str, group: str) -> DataFrame:
+    """documents that a caller may see: of groups that roles (caller, group) give, less hidden (caller, key); for none, nothing."""
+    if caller is None:
+        return documents.limit(0)
+    own = roles.filter(F.col("caller") == caller).select(group).distinct()
+    return documents.join(own, group, "left_semi").join(hidden.filter(F.col("caller") == caller).select(key), key, "left_anti")
 
 
 def any_groups(table: DataFrame, keys: list[str], k: int) -> DataFrame:

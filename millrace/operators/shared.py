@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of its own name in spark.checkpoint.dir; a temporary one only where that is unset and mode local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="millrace-"))
+        base = _own[0]
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed in spark.checkpoint.dir; a folder of its own only where that is unset and mode local."""
     context = df.sparkSession.sparkContext

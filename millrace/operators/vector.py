@@ -116,6 +116,22 @@ def similar_groups(table: DataFrame, threshold: float) -> DataFrame:
     return table.join(found, table.id == found.node, "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 
+def text_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(id, group_id, representative) of texts (id, text, v): of each group the longest text in bytes, of equal ones the first."""
+    of = texts.join(similar_groups(texts.select("id", "v"), threshold), "id")
+    best = of.groupBy("group_id").agg(F.min(F.struct((-F.octet_length("text")).alias("n"), "text")).alias("x")).select("group_id", F.col("x.text").alias("representative"))
+    return of.join(best, "group_id").select("id", "group_id", "representative")
+
+
+def most_isolated(table: DataFrame, n: int, criterion: list[float] | None = None) -> DataFrame:
+    """(id, distance) of the n rows farthest from all others or, with a criterion, from it; ties by id."""
+    if criterion is None:
+        far = isolation(table)
+    else:
+        far = table.select("id", (1 - cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in criterion]))).alias("distance"))
+    return far.orderBy(F.desc("distance"), "id").limit(n)
+
+
 def fuse(dense: DataFrame, lexical: DataFrame, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two scored lists (id, score) of bounded length; ties by lexical score, then id."""
     ranked = lambda df, n: df.withColumnRenamed("score", f"s{n}").withColumn(f"r{n}", F.row_number().over(Window.orderBy(F.desc(f"s{n}"), "id")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, metrics, quality, relational, semantic, timetravel, vector
+from ..operators import graph, metrics, quality, relational, semantic, shared, timetravel, vector
 from ..sources.tables import load
 from . import flow
 
@@ -279,21 +279,23 @@ def metric_check(spark, sf):
 _STATES = 'SELECT event_type AS rule, event_id AS "at", value > 40 AS failing FROM events'
 
 
-@query(f'WITH s AS ({_STATES}), i AS (SELECT *, sum(CASE WHEN failing THEN 0 ELSE 1 END) OVER (PARTITION BY rule ORDER BY "at") AS island FROM s), f AS (SELECT rule, "at" FROM (SELECT *, row_number() OVER (PARTITION BY rule, island ORDER BY "at") AS n FROM i WHERE failing) WHERE n = 2) SELECT rule, "at" FROM (SELECT *, "at" - lag("at") OVER (PARTITION BY rule ORDER BY "at") AS gap FROM f) WHERE gap IS NULL OR gap >= 30')
+# Candidates are the second failures of episodes; from the first of a rule on, each fire is the first candidate at least 30 later.
+_FIRES = f'WITH RECURSIVE s AS ({_STATES}), i AS (SELECT *, sum(CASE WHEN failing THEN 0 ELSE 1 END) OVER (PARTITION BY rule ORDER BY "at") AS island FROM s), f AS (SELECT rule, "at" FROM (SELECT *, row_number() OVER (PARTITION BY rule, island ORDER BY "at") AS n FROM i WHERE failing) WHERE n = 2), fire AS (SELECT rule, min("at") AS "at" FROM f GROUP BY rule UNION ALL SELECT fire.rule, (SELECT min(f."at") FROM f WHERE f.rule = fire.rule AND f."at" >= fire."at" + 30) FROM fire WHERE "at" IS NOT NULL) SELECT rule, "at" FROM fire WHERE "at" IS NOT NULL'
+
+
+@query(_FIRES)
 def metric_alerts(spark, sf):
     return metrics.alerts(load(spark, sf, "events").select(F.col("event_type").alias("rule"), F.col("event_id").alias("at"), (F.col("value") > 40).alias("failing")), 2, 30)
 
 
-_EDGES = "SELECT row_number() OVER (ORDER BY t, a, b) AS edge_id, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, t AS predicate, 0.5 + (a % 5) / 10.0 AS confidence FROM (SELECT 'in' AS t, 1000 + n_nationkey AS a, 2000 + n_regionkey AS b FROM nation UNION ALL SELECT 'lives' AS t, 10000 + c_custkey AS a, 1000 + c_nationkey AS b FROM customer WHERE c_custkey <= 60)"
+_EDGES = "SELECT row_number() OVER (ORDER BY t, a, b) AS edge_id, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, t AS predicate, 0.5 + (a % 5) / 10.0 AS confidence FROM (SELECT 'in' AS t, 1000 + n_nationkey AS a, 2000 + n_regionkey AS b FROM nation UNION ALL SELECT 'lives' AS t, 10000 + c_custkey AS a, 1000 + c_nationkey AS b FROM customer)"
 
 
 def _edges(spark, sf):
     n = load(spark, sf, "nation").select(F.lit("in").alias("t"), (1000 + F.col("n_nationkey")).cast("long").alias("a"), (2000 + F.col("n_regionkey")).cast("long").alias("b"))
     c = load(spark, sf, "customer").select(F.lit("lives").alias("t"), (10000 + F.col("c_custkey")).cast("long").alias("a"), (1000 + F.col("c_nationkey")).cast("long").alias("b"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(1)).orderBy("t", "a", "b")
-    return n.union(c).select(F.row_number().over(w).cast("long").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("predicate"), (0.5 + (F.col("a") % 5) / 10.0).alias("confidence"))
+    rows = shared.numbered(n.union(c), "edge_id", ["t", "a", "b"])
+    return rows.select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("predicate"), (0.5 + (F.col("a") % 5) / 10.0).alias("confidence"))
 
 
 _WALK = f"WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT edge_id, src AS f, dst AS t, confidence FROM e UNION ALL SELECT edge_id, dst, src, confidence FROM e), w(node, nodes, ids, c, d) AS (SELECT CAST(1003 AS BIGINT), [CAST(1003 AS BIGINT)], CAST([] AS BIGINT[]), CAST(1.0 AS DOUBLE), 0 UNION ALL SELECT s.t, list_append(w.nodes, s.t), list_append(w.ids, s.edge_id), w.c * s.confidence, d + 1 FROM w JOIN s ON s.f = w.node WHERE d < 3 AND NOT list_contains(w.nodes, s.t))"
@@ -352,7 +354,12 @@ def flow_sample(spark, sf):
     return flow.run(spark, "SELECT n_nationkey, n_name FROM {nation} THEN sample(10, n_nationkey)", {"nation": load(spark, sf, "nation")})
 
 
-@query()
+_YES = "CASE WHEN (strpos('0123456789abcdef', substr(sha256({}), 2, 1)) - 1) % 2 = 0 THEN 1 ELSE 0 END"  # the stub's answer to a prompt
+_ABOUT = "'Is this about trade? ' || p_type"
+_TAKES = " + ".join(_YES.format(_ABOUT + t) for t in ("", " || chr(10) || '#1.0'", " || chr(10) || '#2.0'"))
+
+
+@query(f"SELECT p_partkey, p_type, CASE WHEN {_TAKES} >= 2 THEN 'yes' ELSE 'no' END AS answer FROM part")
 def semantic_classify(spark, sf):
     op = semantic.Operator("about", "Is this about trade? {{ inputs.text }}", takes=3)
     return semantic.apply(load(spark, sf, "part").select("p_partkey", "p_type"), "p_type", op, semantic.StubProvider(), "answer")

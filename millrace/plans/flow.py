@@ -56,23 +56,34 @@ BUILTIN: dict[str, Stage] = {
 }
 
 
+#: Rows that a chart or a kept step shows; the true number stands beside them.
+SHOWN = 1000
+
+
 def artifact(df: DataFrame, kind: str, **fields: object) -> DataFrame:
-    """A chart or table as one row of JSON over a bounded number of rows."""
-    rows = [json.loads(r) for r in df.limit(1000).toJSON().collect()]
-    return df.sparkSession.createDataFrame([(kind, json.dumps({"kind": kind, "rows": rows, **fields}))], "kind string, spec string")
+    """A chart or table as one row of JSON: the first SHOWN rows in their order, and how many there are."""
+    rows = [json.loads(r) for r in df.limit(SHOWN).toJSON().collect()]
+    total = len(rows) if len(rows) < SHOWN else df.count()
+    return df.sparkSession.createDataFrame([(kind, json.dumps({"kind": kind, "rows": rows, "n_rows": total, **fields}))], "kind string, spec string")
 
 
 for _kind in ("metric_card", "bar_chart", "line_chart", "scatter_plot", "table_view", "vega_lite", "filter_control", "action_button", "tile_name", "bind_filter", "layout_grid"):
     BUILTIN[_kind] = lambda df, *a, kind=_kind: artifact(df, kind, fields=list(a))
 
 
-def run(spark: SparkSession, text: str, tables: dict[str, DataFrame], stages: dict[str, Stage] | None = None, pinned: dict[str, str] | None = None) -> DataFrame:
+def run(spark: SparkSession, text: str, tables: dict[str, DataFrame], stages: dict[str, Stage] | None = None, pinned: dict[str, str] | None = None, log: list | None = None, kept: int = 20) -> DataFrame:
     """The first part is SQL over {tables}; a stage is name(arguments); pinned SQL reads {_input}.
 
-    An error in any stage fails the flow.
+    An error in any stage fails the flow. A log gets (step, rows, the first kept of them as JSON) of every step.
     """
     first, *rest = split(text)
     df = spark.sql(first, **tables)
+
+    def note(step: str) -> None:
+        if log is not None:
+            log.append((step, df.count(), df.limit(kept).toJSON().collect()))
+
+    note("select")
     for part in rest:
         m = re.fullmatch(r"(\w+)\s*(?:\((.*)\))?", part, re.S)
         if not m:
@@ -86,4 +97,5 @@ def run(spark: SparkSession, text: str, tables: dict[str, DataFrame], stages: di
             if name not in own:
                 raise ValueError(f"no stage named {name}")
             df = own[name](df, *[int(a) if a.isdigit() else a for a in arguments])
+        note(name)
     return df

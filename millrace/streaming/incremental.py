@@ -20,20 +20,29 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def keep_view(stream: DataFrame, target: str, key: str, project: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
-    """A materialised view that gets rows whose key it lacks."""
+    """A materialised view that gets rows whose key it lacks.
+
+    Each batch writes a folder of its own number anew, so a batch that is tried again leaves no row twice; the keys
+    that it compares with are those of the batches before it.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates([key])
         try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(target).select(key), key, "left_anti")
+            before = batch.sparkSession.read.parquet(target).filter(F.col("batch") < number).select(key)
+            fresh = fresh.join(before, key, "left_anti")
         except Exception as e:  # no view yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        project(fresh).write.mode("append").parquet(target)
+        project(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_view(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).drop("batch")
+
+
 def windowed(events: DataFrame, at: str, size: str, late: str, *keys: str) -> DataFrame:
     """Counts of each window and key; with a stream, windows close once the watermark has passed (an extension)."""
     return events.withWatermark(at, late).groupBy(F.window(at, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
