@@ -95,7 +95,8 @@ class Graph:
     def assert_triples(self, triples: DataFrame, source: str = "source") -> None:
         """triples (subject_kind, subject, predicate, object_kind, object, confidence, evidence, and a source column)."""
         ends = triples.select(F.col("subject_kind").alias("kind"), F.col("subject").alias("label")).union(triples.select("object_kind", "object"))
-        self.assert_nodes(ends)
+        named = ends.withColumn("alias", normalise_label(F.col("label"))).join(self.aliases, ["kind", "alias"], "left_anti")
+        self.assert_nodes(named.select("kind", "label"))
         alias = lambda end: self.aliases.select(F.col("kind").alias(f"{end}_kind"), F.col("alias").alias(end), F.col("key").alias(f"_{end}"))
         rows = triples.select(F.col("subject_kind").alias("src_kind"), normalise_label(F.col("subject")).alias("src"), F.regexp_replace(normalise_label(F.col("predicate")), " ", "_").alias("predicate"), F.col("object_kind").alias("dst_kind"), normalise_label(F.col("object")).alias("dst"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.col("evidence").alias("quote"), F.col(source).cast("string").alias("source"))
         for end in ("src", "dst"):
