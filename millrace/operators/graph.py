@@ -200,3 +200,9 @@ def related(entities: DataFrame, doc: int, k: int) -> DataFrame:
     met = rows.filter(F.col("doc_id") != doc).join(own, "entity")
     score = F.sum(F.log((n + 1) / (F.col("df") + 0.5)))
     return met.groupBy("doc_id").agg(score.alias("score"), F.count("*").alias("n_shared")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def neighbours(edges: DataFrame, start: int, depth: int = 1, direction: str = "both") -> DataFrame:
+    """(depth, edge_id, src, predicate, dst, node, confidence) of all simple paths' last edges, by depth, confidence and edge."""
+    w = walks(edges, start, depth, direction).select("depth", "edge_id", "node", F.col("confidence").alias("path_confidence"))
+    return w.join(edges, "edge_id").select("depth", "edge_id", "src", "predicate", "dst", "node", "confidence").orderBy("depth", F.desc("confidence"), "edge_id", "node")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens
-from ..operators import cubes, graph, lifecycle, metrics, models, quality, relational, search, semantic, shared, timetravel, vector
+from ..operators import cubes, documents, graph, lifecycle, metrics, models, quality, relational, search, semantic, shared, timetravel, vector
 from ..sources import remote, tables
 from ..sources.tables import load
 from ..streaming import incremental
@@ -115,6 +115,28 @@ def source_layout(spark, sf):
     return lifecycle.file_layout(load(spark, sf, "lineitem")).agg(F.sum("n_rows").alias("n_rows"), (F.min("bytes") > 0).alias("sized"))
 
 
+@query("SELECT n_nationkey AS ordinal, n_name FROM nation WHERE n_nationkey IN (2, 3, 17)")
+def source_selected_rows(spark, sf):
+    path = shared.scratch(spark, "ordered")
+    load(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).write.parquet(path)
+    return tables.selected_rows(spark, path, [2, 3, 17, 99], ["n_name"])
+
+
+@query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'removed' WHEN n_nationkey % 5 = 1 THEN 'changed' WHEN n_nationkey % 5 = 2 THEN 'added' ELSE 'same' END AS change FROM nation) GROUP BY change")
+def source_manifest(spark, sf):
+    n = load(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("/"), "n_name").alias("path"), F.col("n_name").alias("text"))
+    old = n.filter("k % 5 <> 2")
+    new = n.filter("k % 5 <> 0").withColumn("text", F.when(F.col("k") % 5 == 1, F.upper(F.concat("text", F.lit("!")))).otherwise(F.col("text")))
+    return documents.changes(documents.manifest(old), documents.manifest(new)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(length(CASE WHEN n_nationkey % 5 = 1 THEN n_name || '!' ELSE n_name END)) AS BIGINT) AS size FROM nation WHERE n_nationkey % 5 <> 0")
+def source_folder_sync(spark, sf):
+    n = load(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("/"), "n_name").alias("path"), F.col("n_name").alias("text"))
+    new = n.filter("k % 5 <> 0").withColumn("text", F.when(F.col("k") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return documents.synced(n.filter("k % 5 <> 2").select("path", "text"), new).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
+
+
 @query("SELECT n_nationkey AS k, n_nationkey * 2 AS twice FROM nation UNION ALL SELECT n_nationkey, n_nationkey * 2 + 1 FROM nation")
 def source_remote_rows(spark, sf):
     n = load(spark, sf, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("k"))).alias("arguments"))
@@ -288,6 +310,22 @@ def search_embedding_cache(spark, sf):
     return cache.stats().withColumn("again", F.lit(again))
 
 
+_TURNS = "SELECT conv_id, CAST(turn AS BIGINT) AS chunk, text FROM conversations WHERE text IS NOT NULL"
+
+
+@query(f"WITH p AS ({_TURNS}), f AS (SELECT conv_id, chunk, 0.1 * len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x = 'that')) + 2.0 * CAST(contains(lower(text), 'that') AS INTEGER) AS score FROM p) SELECT conv_id, chunk, round(score, 6) AS score FROM f WHERE score > 0 ORDER BY f.score DESC, conv_id, chunk LIMIT 20")
+def documents_find(spark, sf):
+    pieces = load(spark, sf, "conversations").filter("text is not null").select("conv_id", F.col("turn").alias("chunk"), "text")
+    return documents.find(pieces, "conv_id", "that", 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH p AS ({_TURNS}), f AS (SELECT conv_id, chunk FROM p WHERE chunk % 4 = 1 AND contains(lower(text), 'that')), s AS (SELECT conv_id, greatest(chunk - 1, 0) AS a, chunk + 1 AS b FROM f), g AS (SELECT *, sum(CASE WHEN a > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY a) AS g FROM (SELECT *, max(b) OVER (PARTITION BY conv_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)), w AS (SELECT conv_id, min(a) AS a, max(b) AS b FROM g GROUP BY conv_id, g) SELECT w.conv_id, a AS first, max(p.chunk) AS last, CAST(sum(length(p.text) + 2) - 2 AS BIGINT) AS size FROM w JOIN p ON p.conv_id = w.conv_id AND p.chunk BETWEEN a AND b GROUP BY w.conv_id, a")
+def documents_windows(spark, sf):
+    pieces = load(spark, sf, "conversations").filter("text is not null").select("conv_id", F.col("turn").alias("chunk"), "text")
+    found = pieces.filter("chunk % 4 = 1").filter(F.contains(F.lower("text"), F.lit("that"))).select("conv_id", "chunk", F.lit(1.0).alias("score"))
+    return documents.windows(pieces, "conv_id", found).select("conv_id", "first", "last", F.length("text").cast("long").alias("size"))
+
+
 @query(f"SELECT a.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 5 ORDER BY {_COS} DESC, a.vec_id LIMIT 10")
 def search_coarse_index(spark, sf):
     index = search.CoarseIndex(_vectors(spark, sf), shared.scratch(spark, "cells"), n=8)
@@ -577,6 +615,11 @@ def graph_crawl(spark, sf):
 _WALK_8 = f"WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT edge_id, src AS f, dst AS t FROM e UNION ALL SELECT edge_id, dst, src FROM e), w(node, nodes, ids, d) AS (SELECT CAST(1003 AS BIGINT), [CAST(1003 AS BIGINT)], CAST([] AS BIGINT[]), 0 UNION ALL SELECT s.t, list_append(w.nodes, s.t), list_append(w.ids, s.edge_id), d + 1 FROM w JOIN s ON s.f = w.node WHERE d < 3 AND NOT list_contains(w.nodes, s.t))"
 
 
+@query(_WALK_8 + " SELECT d AS depth, ids[-1] AS edge_id, node FROM w WHERE d BETWEEN 1 AND 2")
+def graph_neighbour_edges(spark, sf):
+    return graph.neighbours(_edges(spark, sf), 1003, 2).select("depth", "edge_id", "node")
+
+
 @query(_WALK_8 + " SELECT node, d AS depth, array_to_string(ids, ',') AS edges FROM w WHERE node IN (1008, 1013)")
 def graph_paths_found(spark, sf):
     e = _edges(spark, sf)

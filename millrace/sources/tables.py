@@ -60,6 +60,12 @@ def ingest_folder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def selected_rows(spark: SparkSession, path: str, ordinals: list[int], columns: list[str]) -> DataFrame:
+    """Rows of a Parquet file by their place in it, from 0; only these columns are read."""
+    row = F.col("_metadata.row_index")
+    return spark.read.parquet(path).filter(row.isin(ordinals)).select(row.alias("ordinal"), *columns)
+
+
 def file_statistics(df: DataFrame) -> DataFrame:
     """Rows of each file of a scanned table."""
     return df.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n_rows"))
