@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,39 +33,95 @@ def centred_knn(table: DataFrame, query: list[float], k: int, floor: float = 0.1
     return knn(moved, [q - m for q, m in zip(query, mean)], k).filter(F.col("score") >= floor)
 
 
-def _met(left: DataFrame, right: DataFrame | None, run, schema: str) -> DataFrame:
-    """run(a, b) for every pair of tiles, a key of its own each; b is None for a tile and itself.
+#: Rows that tiles are laid out by; any choice gives the same results.
+PIVOTS = 64
+
+
+def _unit(rows) -> np.ndarray:
+    x = np.array(list(rows), dtype=float).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
 
-    A row travels to as many pairs as there are tiles, and a task holds two tiles, whatever the size.
+def _tiles(table: DataFrame) -> DataFrame:
+    """(tile, ids, x, centre, angle) of a table (id, v): TILE rows or so that lie near one pivot, packed once.
+
+    angle is the largest from the centre to a row, pi where a row is zero; a cell with many rows is several tiles.
     """
-    tiles = lambda df: max(1, -(-df.count() // TILE))
-    deal = lambda df, n: df.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    n = tiles(left)
-    m = n if right is None else tiles(right)
-    a = deal(left, n).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(0))
-    if right is None:
-        a = a.select("id", "v", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), (F.col("t") > F.col("u")).cast("int").alias("side"))
-    else:
-        b = deal(right, m).withColumnRenamed("t", "u").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(1))
-        a = a.select("id", "v", "t", "u", "side").unionByName(b.select("id", "v", "t", "u", "side"))
+    table = table.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    pivots = _unit([r.v for r in table.limit(min(PIVOTS, -(-table.count() // TILE))).collect()])
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series((_unit(v) @ pivots.T).argmax(1).astype("int32")) if len(v) else pd.Series([], dtype="int32")
 
-    alone = right is None
+    rows = table.withColumn("cell", nearest("v"))
+    sizes = {r.cell: r["count"] for r in rows.groupBy("cell").count().collect()}  # a row for each pivot
+    parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // TILE))]) if sizes else None
+    part = F.pmod(F.xxhash64("id"), parts[F.col("cell")]) if sizes else F.lit(0)
+    rows = rows.withColumn("tile", F.col("cell").cast("long") * (1 << 32) + part)
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        def unit(p: pd.DataFrame) -> np.ndarray:
-            x = np.array(p.v.tolist(), dtype=float).reshape(len(p), -1) if len(p) else np.zeros((0, 1))
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(pdf.v)
+        centre = x.mean(0)
+        centre = centre / max(np.linalg.norm(centre), 1e-300)
+        zero = (np.abs(x).sum(1) == 0).any() or not centre.any()
+        angle = np.pi if zero else float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+        return pd.DataFrame({"tile": [key[0]], "ids": [pdf.id.to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "centre": [centre.tolist()], "angle": [angle]})
 
-        one, two = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if alone and pdf.t.iloc[0] == pdf.u.iloc[0]:
-            return run((one.id.to_numpy(), unit(one)), None)
-        return run((one.id.to_numpy(), unit(one)), (two.id.to_numpy(), unit(two)))
+    return shared.cut(rows.groupBy("tile").applyInPandas(pack, "tile long, ids binary, x binary, centre array<double>, angle double"))
+
+
+def _bound(a: str, b: str):
+    """The highest cosine that rows of two tiles can have, by the angles to and around their centres."""
+    dot = F.aggregate(F.zip_with(f"{a}.centre", f"{b}.centre", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    apart = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) - F.col(f"{a}.angle") - F.col(f"{b}.angle")
+    return F.when(apart <= 0, 1.0).otherwise(F.cos(F.least(apart, F.lit(math.pi)))) + 1e-9
+
+
+def _met(left: DataFrame, right: DataFrame | None, run, schema: str, keep) -> DataFrame:
+    """run(a, b) over pairs of tiles (of one table, with itself too, if right is None) for which keep(bound) holds.
+
+    Pairs are made from a row for each tile; of each pair one tile travels to the other.
+    """
+    names = ["tile", "centre", "angle", *([c for c in ("least",) if c in left.columns])]
+    a = left.select(F.struct(*names).alias("a"))
+    b = (left if right is None else right).select(F.struct(*names).alias("b"))
+    pairs = a.join(b, F.col("b.tile") > F.col("a.tile")) if right is None else a.crossJoin(b)
+    pairs = shared.cut(pairs.filter(keep(_bound("a", "b"))).select(F.col("a.tile").alias("t"), F.col("b.tile").alias("u")))
+    n = max(1, min(pairs.count(), 4096))
+    one = left.select(F.col("tile").alias("t"), "ids", "x")
+    two = (left if right is None else right).select(F.col("tile").alias("u"), F.col("ids").alias("ids2"), F.col("x").alias("x2")).repartition(n, "u")
+    met = pairs.join(one, "t").repartition(n, "u").join(two, "u").select("ids", "x", "ids2", "x2")
 
-    return a.groupBy("t", "u").applyInPandas(pair, schema)
+    def go(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield run(_opened(r.ids, r.x), _opened(r.ids2, r.x2))
+
+    return met.mapInPandas(go, schema)
+
+
+def _alone(tiles: DataFrame, run, schema: str) -> DataFrame:
+    """run(a, None) over each tile."""
+
+    def go(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield run(_opened(r.ids, r.x), None)
+
+    return tiles.select("ids", "x").mapInPandas(go, schema)
+
+
+def _opened(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(x, float).reshape(len(i), -1)
 
 
 def isolation(table: DataFrame) -> DataFrame:
-    """id, distance: 1 less the highest cosine to any other row, between 0 and 2; 1 for a row alone."""
+    """id, distance: 1 less the highest cosine to any other row, between 0 and 2; 1 for a row alone.
+
+    The best within each tile comes first; pairs of tiles whose bound is below what every row of both has are left out.
+    """
 
     def run(a, b):
         ids, x = a
@@ -71,12 +129,19 @@ def isolation(table: DataFrame) -> DataFrame:
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
             return pd.DataFrame({"id": ids, "s": s.max(1)})
-        if not len(ids) or not len(b[0]):
-            return pd.DataFrame({"id": [], "s": []})
         s = x @ b[1].T
         return pd.DataFrame({"id": np.concatenate([ids, b[0]]), "s": np.concatenate([s.max(1), s.max(0)])})
 
-    best = _met(table, None, run, "id long, s double").groupBy("id").agg(F.max("s").alias("s"))
+    def least(batches):
+        for pdf in batches:
+            out = [float(run(_opened(r.ids, r.x), None).s.min()) for r in pdf.itertuples(index=False)]
+            yield pdf.assign(least=out)
+
+    tiles = _tiles(table)
+    tiles = shared.cut(tiles.mapInPandas(least, "tile long, ids binary, x binary, centre array<double>, angle double, least double"))
+    own = _alone(tiles, run, "id long, s double")
+    others = _met(tiles, None, run, "id long, s double", lambda bound: bound > F.least("a.least", "b.least"))
+    best = own.unionByName(others).groupBy("id").agg(F.max("s").alias("s"))
     return best.select("id", F.when(F.col("s") < -1 + 1e-9, 1.0).otherwise(F.least(F.greatest(1 - F.col("s"), F.lit(0.0)), F.lit(2.0))).alias("distance"))
 
 
@@ -84,21 +149,20 @@ def novelty(left: DataFrame, right: DataFrame) -> DataFrame:
     """id, novelty of left: 1 less the highest cosine to right, 1 if right is empty."""
 
     def run(a, b):
-        if not len(a[0]) or not len(b[0]):
-            return pd.DataFrame({"id": [], "s": []})
         return pd.DataFrame({"id": a[0], "s": (a[1] @ b[1].T).max(1)})
 
-    best = _met(left, right, run, "id long, s double").groupBy("id").agg(F.max("s").alias("s"))
+    best = _met(_tiles(left), _tiles(right), run, "id long, s double", lambda bound: F.lit(True)).groupBy("id").agg(F.max("s").alias("s"))
     return left.select("id").join(best, "id", "left").select("id", F.coalesce(1 - F.col("s"), F.lit(1.0)).alias("novelty"))
 
 
 def similar_groups(table: DataFrame, threshold: float) -> DataFrame:
-    """id, group_id for rows that cosines of at least threshold connect; each tile pair gives a forest."""
+    """id, group_id for rows that cosines of at least threshold connect; each tile and pair of tiles gives a forest.
+
+    Pairs of tiles whose bound is below the threshold are never made.
+    """
 
     def run(a, b):
         ids = a[0] if b is None else np.concatenate([a[0], b[0]])
-        if not len(a[0]) or (b is not None and not len(b[0])):
-            return pd.DataFrame({"a": [], "b": []})
         i, j = np.nonzero((a[1] @ (a[1] if b is None else b[1]).T) >= threshold)
         j = j if b is None else j + len(a[0])
         label = np.arange(len(ids))
@@ -112,7 +176,9 @@ def similar_groups(table: DataFrame, threshold: float) -> DataFrame:
         own = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[own], "b": ids[label[own]]})
 
-    found = shared.components(_met(table, None, run, "a long, b long"))
+    tiles = _tiles(table)
+    edges = _alone(tiles, run, "a long, b long").unionByName(_met(tiles, None, run, "a long, b long", lambda bound: bound >= threshold))
+    found = shared.components(edges)
     return table.join(found, table.id == found.node, "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 

@@ -209,3 +209,30 @@ def test_token_ids_of_a_rank_file(spark, tmp_path):
     path.write_bytes(b"".join(base64.b64encode(r) + b" " + str(i).encode() + b"\n" for i, r in enumerate(ranks)))
     rows = spark.createDataFrame([("the th",), (None,)], "t string").select(tokens.tokenize(F.col("t"), str(path)).alias("ids"), tokens.token_count(F.col("t"), str(path)).alias("n")).collect()
     assert rows[0].ids == [257, 32, 256] and rows[0].n == 3 and rows[1].ids is None and rows[1].n is None
+
+
+def test_vector_tiles_are_pruned_without_loss(spark, monkeypatch):
+    import numpy as np
+
+    from millrace.operators import vector
+
+    monkeypatch.setattr(vector, "TILE", 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, 150)] + 0.02 * rng.normal(size=(150, 5))
+    x[7] = 0
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.distance for r in vector.isolation(table).collect()}
+    assert all(got[i] == pytest.approx(1 - s[i].max(), abs=1e-9) for i in range(150))
+    made = []
+    plain = vector._met
+    monkeypatch.setattr(vector, "_met", lambda left, right, run, schema, keep: made.append((left.count(), plain(left, right, run, schema, keep))) or made[-1][1])
+    groups = {r.id: r.group_id for r in vector.similar_groups(table, 0.99).collect()}
+    label = list(range(150))
+    for _ in range(20):
+        for i, j in zip(*np.nonzero(s >= 0.99)):
+            label[i] = label[j] = min(label[i], label[j])
+    assert groups == dict(enumerate(label)) and made[0][0] >= 6
+    assert vector.isolation(table.limit(0)).collect() == [] and vector.novelty(table.limit(2), table.limit(0)).count() == 2
