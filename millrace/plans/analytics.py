@@ -135,12 +135,20 @@ def text_label_similarity(spark, sf):
     return both.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.round(T.label_similarity(F.col("a.n_name"), F.col("b.n_name")), 6).alias("s"))
 
 
-@query()
+_SENTENCES = "SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS s FROM documents)"
+_HITS = "len(list_filter(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t = '{0}'))"
+_SCORE = " + ".join(f"CASE WHEN {_HITS.format(w)} > 0 THEN 10 + {_HITS.format(w)} ELSE 0 END" for w in ("the", "of", "and"))
+
+
+@query(f"WITH x AS (SELECT doc_id, trim(s, ' ') AS s, i, {_SCORE} AS score FROM ({_SENTENCES})), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM x WHERE score > 0) SELECT doc_id, list(s ORDER BY i) AS evidence FROM r WHERE r <= 3 GROUP BY doc_id")
 def text_evidence(spark, sf):
     return load(spark, sf, "documents").select("doc_id", T.text_evidence(F.col("text"), "the of and").alias("evidence")).filter(F.size("evidence") > 0)
 
 
-@query()
+_PACKED = "list_reduce(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p, ' ')), lambda p: p <> ''), lambda a, p: a || CASE WHEN length(string_split(a, chr(1))[-1]) + length(p) + 2 <= 1200 THEN chr(10) || chr(10) ELSE chr(1) END || p)"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, c AS text FROM (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split({_PACKED}, chr(1)) AS c FROM documents WHERE trim(text, ' ' || chr(10)) <> ''))")
 def text_chunks(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text"))
 
@@ -243,7 +251,7 @@ def quality_rules(spark, sf):
     return quality.first_rule(load(spark, sf, "orders"), rules).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('documents', 'document_id', 'document'), ('labels', 'document_id', 'document'), ('labels', 'document_id', 'documents'), ('pages', 'page_id', 'page')) t(table_name, column_name, to_table)")
 def quality_inferred_keys(spark, sf):
     names = ["documents", "labels", "pages"]
     rows = [(t, c) for t in names for c in load(spark, sf, t).columns] + [("document", "id"), ("page", "id"), ("documents", "id")]
