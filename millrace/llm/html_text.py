@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|[^<]++|<", re.S)
 _REST = re.compile(r"<!--.*|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -203,6 +205,7 @@ def fit(pages: DataFrame) -> tuple[float, ...]:
     """Weights for pages (page_id, html), from blocks that their place labels: logistic regression for the text, and
     for smoothness half the log-odds with which siblings that follow each other have one label."""
     spark = pages.sparkSession
+    shared.bound_batches(spark)
     ids = pages.select(F.xxhash64(F.col("page_id").cast("string")).alias("h")).orderBy("h").limit(SAMPLE_PAGES).distinct()
     ids = spark.createDataFrame([(r.h,) for r in ids.collect()], "h long")
     sample = pages.withColumn("h", F.xxhash64(F.col("page_id").cast("string"))).join(F.broadcast(ids), "h").select("html")

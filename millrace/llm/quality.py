@@ -54,6 +54,7 @@ WIDTH = len(features(""))
 def fit(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights (the constant, then those of the features) for documents (doc_id, text), labels (doc_id, quality)."""
     spark = documents.sparkSession
+    shared.bound_batches(spark)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = own.filter("y = 1").orderBy(*order).limit(SAMPLE_ROWS).union(own.filter("y = 0").orderBy(*order).limit(SAMPLE_ROWS))
@@ -151,8 +152,10 @@ def score(documents: DataFrame, labels: DataFrame, host: Column, path: Column) -
     rows = documents.withColumn(site, F.struct(name(host).alias("host"), name(path).alias("path")))
     p = evidence(F.col("text"), weights)
     scored = rows.select(F.col(site)["host"].alias("host"), F.col(site)["path"].alias("path"), p.alias("p"))
-    table, mean = sites(scored.unionByName(_labelled(rows, labels, site)))
-    table = shared.written(table.select(F.struct("host", "path").alias(site), F.struct("host_posterior", "path_posterior").alias(post)), "sites")
+    with shared.scope() as tables:
+        table, mean = sites(scored.unionByName(_labelled(rows, labels, site)))
+        table = shared.written(table.select(F.struct("host", "path").alias(site), F.struct("host_posterior", "path_posterior").alias(post)), "sites")
+        tables.keep(table)
     if table.count() <= shared.BROADCAST_ROWS:
         out = rows.join(F.broadcast(table), site)
     else:

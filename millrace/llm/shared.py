@@ -27,7 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts pass to Python in batches of 8 MB (one row at least), unless the session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
+    bound_batches(spark)
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
@@ -38,9 +46,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+class scope:
+    """Tables written within are removed at its end, but for those given to keep(), which what is returned reads."""
+
+    def __enter__(self) -> scope:
+        self.kept: set[int] = set()
+        _scopes.append([])
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept.update(map(id, tables))
+
+    def __exit__(self, *_) -> None:
+        tables = _scopes.pop()
+        for t in tables:
+            if id(t) in self.kept:
+                if _scopes:  # the scope around may have no use for it
+                    _scopes[-1].append(t)
+            else:
+                discard(t)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that written() made and nothing reads any more."""
     path = getattr(df, "_millrace_path", None)

@@ -77,27 +77,37 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1, sets: bool = False) -> DataFrame:
-    """The columns keep, f0 .. (the fingerprint's words, as longs), n (the number of shingles) and s.
+#: Texts whose sets are held at once.
+TEXTS = 256
 
-    With sets, each shingle counts once and s is the sorted hashes as bytes; without, s is null.
+
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1, sets: str | None = None) -> DataFrame:
+    """The columns keep, f0 .. (the fingerprint's words, as longs), n (the number of shingles), and a set's column.
+
+    With sets, each shingle counts once: "s" gives the sorted hashes as bytes, "id" a hash of them.
     """
-    fields = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(words)] + ["n long", "s binary"])
+    more = {None: "", "s": ", s binary", "id": ", id long"}[sets]
+    fields = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(words)] + ["n long"]) + more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             found, n = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int64)
-            own = [b"" if sets else None] * batch.num_rows
+            own = [b""] * batch.num_rows
             for i, text in enumerate(batch.column(len(keep))):
                 t = text.as_py()
                 if t:
                     h = _hashes(t.encode("utf-8", "surrogatepass"), shingle)
                     if sets:
                         h = np.unique(h)
-                        own[i] = h.tobytes()
+                        own[i] = h.tobytes() if sets == "s" else xxhash.xxh3_64_digest(h)
                     found[i], n[i] = fingerprint(h, words), len(h)
-            columns = [batch.column(j) for j in range(len(keep))] + [pa.array(found[:, j].copy().view(np.int64)) for j in range(words)]
-            yield pa.record_batch([*columns, pa.array(n), pa.array(own, pa.binary())], names=[*keep, *[f"f{j}" for j in range(words)], "n", "s"])
+            columns = [batch.column(j) for j in range(len(keep))] + [pa.array(found[:, j].copy().view(np.int64)) for j in range(words)] + [pa.array(n)]
+            if sets == "s":
+                columns.append(pa.array(own, pa.binary()))
+            elif sets:
+                empty = xxhash.xxh3_64_digest(b"")
+                columns.append(pa.array(np.frombuffer(b"".join(x or empty for x in own), np.int64)))
+            yield pa.record_batch(columns, names=[*keep, *[f"f{j}" for j in range(words)], "n", *([sets] if sets else [])])
 
     return docs.select(*keep, "text").mapInArrow(run, fields)
 
@@ -255,7 +265,7 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
     met = plan.join(packed.select("c", "t", "ids", "f"), ["c", "t"]).repartition(n, "d", "u").join(other, ["d", "u"]).select("c", "t", "d", "u", "ids", "f", "ids2", "f2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
             for r in batch.to_pylist():
                 ids, a = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["f"], np.uint64).reshape(-1, words)
                 if (r["c"], r["t"]) == (r["d"], r["u"]):
@@ -274,12 +284,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
     component_id is the smallest doc_id that links reach, the row's own included.
     """
-    rows = shared.written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], shingle).drop("s"), "fingerprints")
-    distinct = shared.written(rows.groupBy("f0").agg(F.min("doc_id").alias("least")), "distinct")
-    found = shared.components(link_close(distinct, radius))
-    of = distinct.join(found, distinct.f0 == found.node, "left").select("f0", "least", F.coalesce("component", "f0").alias("c"))
-    least = of.groupBy("c").agg(F.min("least").alias("component_id"))
-    table = shared.written(of.join(least, "c").select("f0", "component_id"), "components")
+    with shared.scope() as tables:
+        rows = shared.written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], shingle), "fingerprints")
+        distinct = shared.written(rows.groupBy("f0").agg(F.min("doc_id").alias("least")), "distinct")
+        found = shared.components(link_close(distinct, radius))
+        of = distinct.join(found, distinct.f0 == found.node, "left").select("f0", "least", F.coalesce("component", "f0").alias("c"))
+        least = of.groupBy("c").agg(F.min("least").alias("component_id"))
+        table = shared.written(of.join(least, "c").select("f0", "component_id"), "components")
+        tables.keep(rows, table)
     out = rows.join(table, "f0")
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -331,7 +343,7 @@ def link_similar(members: DataFrame, words: int, radius: int, similarity: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             for r in batch.to_pylist():
                 key = (r["c"], r["i"], r["j"])
                 if key != now and held:
@@ -356,29 +368,32 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     (row,) = shared.fresh(docs, "_row")
     rows = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     f = [f"f{i}" for i in range(WIDE_WORDS)]
-    prints = fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS, sets=True)
-    prints = shared.written(prints.withColumn("id", F.xxhash64("s")).drop("s"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
-    distinct = shared.written(prints.groupBy("id", *f, "n").agg(F.min(order).alias("first")), "distinct")
-    near = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
-    near = near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", "n", F.col("first._row").alias("_row")), "id")
-    near = shared.written(near, "near")
-    sizes = near.groupBy("c").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
-    tiles = F.greatest(F.ceil(F.col("count") / SET_TILE), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
-    near = shared.written(near.join(sizes.select("c", tiles.alias("tiles")), "c").select("c", "id", "tiles", "_row"), "near")
-    # The sets of candidates alone are computed again, rather than all sets written.
-    twice = shared.written(prints.groupBy("_row").count().filter("count > 1").select("_row"), "twice")
-    again = not twice.isEmpty()
-    texts = shared.join_narrow(rows.select(F.col(row).alias("_row"), "text"), near, "_row")
-    texts = (texts.dropDuplicates(["id"]) if again else texts).select("c", "id", "tiles", "text")
-    members = fingerprints(texts, ["c", "id", "tiles"], shingle, WIDE_WORDS, sets=True)
-    found = shared.components(link_similar(members, WIDE_WORDS, FOUR_RADIUS, similarity))
-    of = distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("component", "id").alias("c"), "first")
-    of = shared.written(of, "groups")
-    stay = of.groupBy("c").agg(F.min("first").alias("stay")).select("c", F.col("stay._row").alias("stay"))
-    of = of.join(stay, "c").select("id", "stay")
-    gone = prints.select("id", "_row").join(of, "id").filter("_row <> stay").select(F.col("_row").alias(row)).distinct()
-    kept = shared.join_narrow(rows, shared.written(gone, "gone"), row, "left_anti")
+    with shared.scope() as tables:
+        prints = fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS, sets="id")
+        prints = shared.written(prints, "fingerprints")
+        order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
+        distinct = shared.written(prints.groupBy("id", *f, "n").agg(F.min(order).alias("first")), "distinct")
+        near = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
+        near = near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", "n", F.col("first._row").alias("_row")), "id")
+        near = shared.written(near, "near")
+        sizes = near.groupBy("c").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+        tiles = F.greatest(F.ceil(F.col("count") / SET_TILE), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
+        near = shared.written(near.join(sizes.select("c", tiles.alias("tiles")), "c").select("c", "id", "tiles", "_row"), "near")
+        # The sets of candidates alone are computed again, rather than all sets written.
+        twice = shared.written(prints.groupBy("_row").count().filter("count > 1").select("_row"), "twice")
+        again = not twice.isEmpty()
+        texts = shared.join_narrow(rows.select(F.col(row).alias("_row"), "text"), near, "_row")
+        texts = (texts.dropDuplicates(["id"]) if again else texts).select("c", "id", "tiles", "text")
+        members = fingerprints(texts, ["c", "id", "tiles"], shingle, WIDE_WORDS, sets="s")
+        found = shared.components(link_similar(members, WIDE_WORDS, FOUR_RADIUS, similarity))
+        of = distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("component", "id").alias("c"), "first")
+        of = shared.written(of, "groups")
+        stay = of.groupBy("c").agg(F.min("first").alias("stay")).select("c", F.col("stay._row").alias("stay"))
+        of = of.join(stay, "c").select("id", "stay")
+        gone = prints.select("id", "_row").join(of, "id").filter("_row <> stay").select(F.col("_row").alias(row)).distinct()
+        gone = shared.written(gone, "gone")
+        tables.keep(gone, twice)
+    kept = shared.join_narrow(rows, gone, row, "left_anti")
     if again:  # rows with one id and one text share a number; one of them stays, and others aren't shuffled
         same = twice.withColumnRenamed("_row", row)
         kept = shared.join_narrow(kept, same, row, "left_anti").unionByName(shared.join_narrow(kept, same, row, "left_semi").dropDuplicates([row]))

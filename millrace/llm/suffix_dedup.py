@@ -411,12 +411,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text")])
     same = docs.select(key.alias("k")).groupBy("k").count().filter("count > 1").select("k")
     numbered = docs.select("doc_id", "text", key.alias("row"))
-    if not same.isEmpty():  # repeated rows: equal texts remove each other whole, whichever is which
-        place = F.monotonically_increasing_id()
-        numbered = shared.written(docs.select("doc_id", "text", place.alias("row")), "numbered")
-    spans = removals(numbered, length, gram)
-    # Runs of one text, merged before they travel: a range of windows covers length - 1 bytes more.
-    gathered = shared.written(spans.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("x")), "spans")
+    with shared.scope() as tables:
+        if not same.isEmpty():  # repeated rows: equal texts remove each other whole, whichever is which
+            place = F.monotonically_increasing_id()
+            numbered = shared.written(docs.select("doc_id", "text", place.alias("row")), "numbered")
+        spans = removals(numbered, length, gram)
+        # Runs of one text, merged before they travel: a range of windows covers length - 1 bytes more.
+        gathered = shared.written(spans.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("x")), "spans")
+        tables.keep(numbered, gathered)
     out = numbered.join(gathered, "row", "left").select("doc_id", "text", "x")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: The sample of labelled rows is bounded by these; all else follows from whole texts of the sample.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 _WORD = re.compile(r"[^\W_]+")
@@ -273,6 +275,7 @@ def _inputs(marginals: list[float]) -> tuple[float, float]:
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels (doc_id, toxic) of documents (doc_id, text), of which a bounded sample is used."""
     spark = documents.sparkSession
+    shared.bound_batches(spark)
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = own.filter("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).union(own.filter("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
