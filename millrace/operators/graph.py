@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import merge_similarity, normalise_label
+from ..functions.text import cosine, merge_similarity, normalise_label
 from . import shared
 
 
@@ -28,6 +28,17 @@ def resolve(nodes: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame
     return names.withColumn("l", normalise_label(F.col("name"))).join(known, "l", "left").select("name", "node_id")
 
 
+def resolve_near(nodes: DataFrame, names: DataFrame, least: float = 0.92, most: int = 10) -> DataFrame:
+    """(name, node_id, similarity): for names (name, v) without an exact match, nodes (node_id, v) of at least that cosine.
+
+    names are the few that were asked for; they are sent to the nodes, and each keeps its most best ones.
+    """
+    asked = names.select("name", F.col("v").alias("_v"))
+    near = nodes.join(F.broadcast(asked), F.lit(True)).select("name", "node_id", cosine(F.col("v"), F.col("_v")).alias("similarity")).filter(F.col("similarity") >= least)
+    w = Window.partitionBy("name").orderBy(F.desc("similarity"), "node_id")
+    return near.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+
+
 #: Letters of a label, or fewer if it is shorter, by which labels that hold it are found.
 GRAM = 8
 

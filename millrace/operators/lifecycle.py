@@ -51,6 +51,10 @@ class Store:
     def snapshot(self) -> DataFrame:
         return timetravel.snapshot(self.rows(), self.newest()).drop("generation")
 
+    def between(self, low: int, high: int) -> DataFrame:
+        """Rows written after generation low and up to high: what an export of a range holds."""
+        return self.rows().filter((F.col("generation") > low) & (F.col("generation") <= high))
+
     def statistics(self) -> dict[str, int]:
         """Files, tombstones and generations, which pressure is measured by."""
         rows, deletes = self.rows(), self._read("deletes")

@@ -86,6 +86,13 @@ def rule_verdicts(table: DataFrame, rules: list[tuple[str, int, str]]) -> DataFr
     return table.withColumn("verdict", found).filter(F.col("verdict").isNotNull())
 
 
+def all_keys(columns: DataFrame, declared: DataFrame) -> DataFrame:
+    """(table_name, column_name, to_table, source): declared keys, and inferred ones for columns that declare none."""
+    own = declared.select("table_name", "column_name", "to_table", F.lit("declared").alias("source"))
+    guess = inferred_keys(columns).join(declared.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti")
+    return own.unionByName(guess.withColumn("source", F.lit("inferred")))
+
+
 def inferred_keys(columns: DataFrame) -> DataFrame:
     """Edges of columns (table_name, column_name): <base>_id or <base>id to a table <base> or <base>s with an id column."""
     stem = F.regexp_extract(F.lower("column_name"), "^(.+?)_?id$", 1)
@@ -122,3 +129,39 @@ def predicate_bitmap(table: DataFrame, key: str, predicate: str, name: str, vers
 
 def bitmap_size(bitmap: DataFrame) -> DataFrame:
     return bitmap.groupBy("name", "version").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+class PredicateBitmaps:
+    """Named, versioned predicates over a table's keys, evaluated once and kept as bitmaps in a folder."""
+
+    def __init__(self, spark, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.known: dict[tuple[str, str], str] = {}
+
+    def populate(self, table: DataFrame, key: str, predicate: str, name: str, version: str) -> bool:
+        """Whether it was evaluated now: a name's version is evaluated once only."""
+        if (name, version) in self.known:
+            return False
+        path = f"{self.folder}/{name}-{version}"
+        predicate_bitmap(table, key, predicate, name, version).write.mode("overwrite").parquet(path)
+        self.known[name, version] = path
+        return True
+
+    def bitmap(self, name: str, version: str) -> DataFrame:
+        return self.spark.read.parquet(self.known[name, version])
+
+    def select(self, table: DataFrame, key: str, name: str, version: str) -> DataFrame:
+        """The rows whose keys are set, without the predicate being evaluated again."""
+        bits = self.bitmap(name, version).select("bucket", "bits")
+        k = F.col(key).cast("long")
+        at = F.bitmap_bit_position(k)
+        held = table.withColumn("bucket", F.bitmap_bucket_number(k)).join(bits, "bucket")
+        byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return held.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*table.columns)
+
+    def stats(self) -> DataFrame:
+        parts = [bitmap_size(self.bitmap(*k)) for k in sorted(self.known)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def drop(self, name: str, version: str) -> bool:
+        return self.known.pop((name, version), None) is not None

@@ -215,6 +215,62 @@ def bitmap_values(spark, sf):
     return lifecycle.bitmap_count(maps, F.col("value").isin("F", "P"))
 
 
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders WHERE o_orderkey % 4 IN (1, 2)")
+def source_range_export(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    store, path = lifecycle.Store(spark, shared.scratch(spark, "ranges"), "o_orderkey"), shared.scratch(spark, "exported")
+    for i in range(4):
+        store.append(o.filter(F.col("o_orderkey") % 4 == i))
+    tables.export(store.between(1, 3), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@query("SELECT true AS same_passes, false AS changed_passes")
+def source_gate(spark, sf):
+    n = load(spark, sf, "nation")
+    seen = tables.schema_fingerprint(n)
+
+    def passes(df):
+        try:
+            tables.gated(df, seen)
+            return True
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(passes(n.limit(3)), passes(n.withColumn("n_name", F.lit(1))))], "same_passes boolean, changed_passes boolean")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000")
+def bitmap_select(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    maps = quality.PredicateBitmaps(spark, shared.scratch(spark, "bitmaps"))
+    done = [maps.populate(o, "o_orderkey", p, "large", v) for p, v in (("o_totalprice > 150000", "1"), ("o_totalprice > 1", "1"), ("o_totalprice > 1", "2"))]
+    if done != [True, False, True] or not maps.drop("large", "2") or maps.drop("large", "2"):
+        raise AssertionError(done)
+    return maps.select(o, "o_orderkey", "large", "1")
+
+
+@query("SELECT 'dear' AS name, '1' AS version, count(*) FILTER (WHERE o_totalprice > 200000) AS n FROM orders UNION ALL SELECT 'open', '1', count(*) FILTER (WHERE o_orderstatus = 'O') FROM orders")
+def bitmap_stats(spark, sf):
+    maps = quality.PredicateBitmaps(spark, shared.scratch(spark, "bitmaps"))
+    for name, p in (("dear", "o_totalprice > 200000"), ("open", "o_orderstatus = 'O'")):
+        maps.populate(load(spark, sf, "orders"), "o_orderkey", p, name, "1")
+    return maps.stats()
+
+
+@query("SELECT * FROM (VALUES ('documents', 'document_id', 'texts', 'declared'), ('labels', 'document_id', 'document', 'inferred'), ('pages', 'page_id', 'page', 'inferred')) t(table_name, column_name, to_table, source)")
+def quality_all_keys(spark, sf):
+    columns = spark.createDataFrame([("documents", "document_id"), ("labels", "document_id"), ("pages", "page_id"), ("document", "id"), ("page", "id")], "table_name string, column_name string")
+    return quality.all_keys(columns, spark.createDataFrame([("documents", "document_id", "texts")], "table_name string, column_name string, to_table string"))
+
+
+@query(f"SELECT CAST(b.vec_id AS VARCHAR) AS name, a.vec_id AS node_id, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id IN (2, 9) AND {_COS} >= 0.25 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) <= 10")
+def graph_resolve_near(spark, sf):
+    v = _vectors(spark, sf)
+    names = v.filter("id in (2, 9)").select(F.col("id").cast("string").alias("name"), "v")
+    return graph.resolve_near(v.select(F.col("id").alias("node_id"), "v"), names, 0.25).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT g AS generation, count(*) AS n FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS g FROM orders) WHERE NOT (g < 1996) OR g = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY g")
 def time_retention(spark, sf):
     rows = load(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("generation"))

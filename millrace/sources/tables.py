@@ -55,6 +55,13 @@ def schema_fingerprint(df: DataFrame) -> str:
     return hashlib.md5(";".join(f"{n}:{t}" for n, t in df.dtypes).encode()).hexdigest()
 
 
+def gated(df: DataFrame, fingerprint: str | None) -> DataFrame:
+    """df, if its names and types are those of a fingerprint; a source seen for the first time has none."""
+    if fingerprint is not None and schema_fingerprint(df) != fingerprint:
+        raise ValueError(f"the source's schema has changed: {df.dtypes}")
+    return df
+
+
 def ingest_folder(spark: SparkSession, path: str) -> DataFrame:
     """Text files of a folder as documents: path, text."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
