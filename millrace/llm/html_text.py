@@ -208,7 +208,7 @@ def fit(pages: DataFrame) -> tuple[float, ...]:
     shared.bound_batches(spark)
     ids = pages.select(F.xxhash64(F.col("page_id").cast("string")).alias("h")).orderBy("h").limit(SAMPLE_PAGES).distinct()
     ids = spark.createDataFrame([(r.h,) for r in ids.collect()], "h long")
-    sample = pages.withColumn("h", F.xxhash64(F.col("page_id").cast("string"))).join(F.broadcast(ids), "h").select("html")
+    sample = pages.withColumn("h", F.xxhash64(F.col("page_id").cast("string"))).join(F.broadcast(ids), "h").groupBy("h").agg(F.min("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

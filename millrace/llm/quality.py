@@ -59,7 +59,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = own.filter("y = 1").orderBy(*order).limit(SAMPLE_ROWS).union(own.filter("y = 0").orderBy(*order).limit(SAMPLE_ROWS))
     ids = spark.createDataFrame([tuple(r) for r in ids.distinct().collect()], "doc_id long, y int")
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "y")
+    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")  # repeated ids don't outgrow the bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

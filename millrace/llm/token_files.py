@@ -246,16 +246,30 @@ def encoder(path: str) -> Encoder:
 
 
 def _slices(batches: Iterable[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows with at most so many bytes of text, one row at least."""
+    """Rows with at most so many bytes of text, one row at least; small batches are put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def together() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes, dtype=np.int64)
         at = 0
         while at < batch.num_rows:
-            end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right"))
+            before = int(total[at - 1]) if at else 0
+            end = int(np.searchsorted(total, before + most - size, side="right"))
+            if end == at and held:  # no row fits any more
+                yield together()
+                held, size = [], 0
+                continue
             end = max(at + 1, end)
-            yield batch.slice(at, end - at)
+            held.append(batch.slice(at, end - at))
+            size += int(total[end - 1]) - before
             at = end
+    if held:
+        yield together()
 
 
 def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int) -> DataFrame:

@@ -274,13 +274,19 @@ def _inputs(marginals: list[float]) -> tuple[float, float]:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels (doc_id, toxic) of documents (doc_id, text), of which a bounded sample is used."""
+    with shared.scope():
+        return _fit(documents, labels)
+
+
+def _fit(documents: DataFrame, labels: DataFrame) -> Model:
     spark = documents.sparkSession
-    shared.bound_batches(spark)
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = own.filter("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).union(own.filter("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
     ids = spark.createDataFrame([tuple(r) for r in ids.distinct().collect()], "doc_id long, toxic int")
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # repeated ids don't outgrow the bound
+    sample = shared.written(sample.select("text", "toxic"), "sample")
     words = vocabulary(sample)
     if not words:
         return Model()
@@ -302,7 +308,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             rows = list(rows)
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int32())], names=["w", "toxic"])
 
-    rows = sample.mapInArrow(windows, "w array<int>, toxic int").distinct().orderBy(F.xxhash64("w", "toxic")).limit(40_000).collect()
+    rows = sample.mapInArrow(windows, "w array<int>, toxic int").distinct().orderBy("w", "toxic").collect()
     w = np.array([r.w for r in rows], dtype=np.int64).reshape(-1, 2 * _HALF + 1)
     tags = ((w != other) & (np.array([r.toxic for r in rows])[:, None] == 1)).astype(np.int64)
     model = fit_field(w, tags, other)
