@@ -17,6 +17,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """cosine() with a vector that is known: its norm is computed once, so each row takes two passes, not five."""
+    q = [float(x) for x in query]
+    norm = sum(x * x for x in q) ** 0.5
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    own = F.sqrt(dot(a, a))
+    return F.when(a.isNull(), None).when((F.size(a) != len(q)) | (own == 0) | F.lit(norm == 0), 0.0).otherwise(dot(a, F.array(*[F.lit(x) for x in q])) / (own * norm))
+
+
 def value_shape(text: Column, cap: int = 64) -> Column:
     """Letters become a, digits d, the rest stays; longer shapes end with a tilde."""
     shape = F.regexp_replace(F.regexp_replace(text, "[A-Za-z]", "a"), "[0-9]", "d")

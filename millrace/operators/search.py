@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from ..functions.text import cosine_to
 from . import shared
 
 #: Weight of an unlabelled word in a cover.
@@ -106,7 +106,7 @@ class EmbeddingCache:
 def knn_text(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """(value, score) of the k distinct texts of vectors (text, v) nearest by cosine; ties by value."""
     one = vectors.groupBy("text").agg(F.min("v").alias("v"))
-    return one.select(F.col("text").alias("value"), cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in query])).alias("score")).orderBy(F.desc("score"), "value").limit(k)
+    return one.select(F.col("text").alias("value"), cosine_to(F.col("v"), query).alias("score")).orderBy(F.desc("score"), "value").limit(k)
 
 
 def hybrid_search(dense: DataFrame, lexical: DataFrame, k: int, floor: float = 0.0, constant: int = 60) -> DataFrame:
@@ -147,4 +147,4 @@ class CoarseIndex:
         """(id, score): the k nearest by cosine in the cells nearest to the query; all cells give the exact result."""
         near = sorted(range(len(self.centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.centres[i], query)))[:probes]
         rows = self.spark.read.parquet(self.folder).filter(F.col("cell").isin(near))
-        return rows.select("id", cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in query])).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        return rows.select("id", cosine_to(F.col("v"), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)

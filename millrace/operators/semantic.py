@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from ..functions.text import cosine_to
 from . import shared
 
 Provider = Callable[[list[str]], list[str]]
@@ -436,7 +436,7 @@ def semantic_case(vectors: DataFrame, conditions: list[list[float]], results: li
     """vectors (id, v) with the result of the nearest condition, the first of equal ones, if near enough."""
     if len(conditions) != len(results):
         raise ValueError("as many results as conditions are needed")
-    near = F.array(*[F.struct(cosine(F.col("v"), F.array(*[F.lit(x) for x in c])).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(conditions)])
+    near = F.array(*[F.struct(cosine_to(F.col("v"), c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(conditions)])
     best = F.array_max(near)
     named = F.element_at(F.array(*[F.lit(r) for r in results]), 1 - best["i"])
     return vectors.select("id", F.when(best["s"] >= least, named).otherwise(default).alias("result"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from ..functions.text import cosine, cosine_to
 from . import shared
 
 TILE = 4096
@@ -17,8 +17,7 @@ TILE = 4096
 
 def knn(table: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k rows nearest by cosine; ties to the smaller id. A projection and a top-k, no shuffle of the table."""
-    wanted = F.array(*[F.lit(float(x)) for x in query])
-    return table.select("id", cosine(F.col("v"), wanted).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return table.select("id", cosine_to(F.col("v"), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def centred(table: DataFrame) -> tuple[DataFrame, list[float]]:
@@ -194,7 +193,7 @@ def most_isolated(table: DataFrame, n: int, criterion: list[float] | None = None
     if criterion is None:
         far = isolation(table)
     else:
-        far = table.select("id", (1 - cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in criterion]))).alias("distance"))
+        far = table.select("id", (1 - cosine_to(F.col("v"), criterion)).alias("distance"))
     return far.orderBy(F.desc("distance"), "id").limit(n)
 
 

@@ -236,3 +236,12 @@ def test_vector_tiles_are_pruned_without_loss(spark, monkeypatch):
             label[i] = label[j] = min(label[i], label[j])
     assert groups == dict(enumerate(label)) and made[0][0] >= 6
     assert vector.isolation(table.limit(0)).collect() == [] and vector.novelty(table.limit(2), table.limit(0)).count() == 2
+
+
+def test_cosine_to_a_known_vector(spark):
+    from millrace.functions import text as T
+
+    rows = spark.createDataFrame([([1.0, 0.0],), ([2.0, 2.0],), ([0.0, 0.0],), ([1.0],), (None,)], "v array<double>")
+    for q in ([1.0, 1.0], [0.0, 0.0]):
+        both = rows.select(T.cosine_to(F.col("v"), q).alias("a"), T.cosine(F.col("v"), F.array(*[F.lit(x) for x in q])).alias("b")).collect()
+        assert all(r.a == pytest.approx(r.b) if r.b is not None else r.a is None for r in both)
