@@ -33,7 +33,7 @@ from . import shared
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 FIXED_COST, SQUARE_COST = 24.0, 1 / 65536
-SHARD, SHARD_TOKENS, TRIAL = 20_000, 8_000_000, 3000
+SHARD, SHARD_TOKENS, TRIAL = 20_000, 4_000_000, 3000
 
 
 def cost(length: int) -> float:
