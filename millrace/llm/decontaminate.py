@@ -241,6 +241,7 @@ def _against(uris: list[str]):
                 if x[0] > best[i][0] or (x[1] is not None and x[0] == best[i][0] > 0 and (best[i][1] is None or x[1] < best[i][1])):
                     best[i] = x
         items = pd.array([b[1] for b in best], dtype="Int64")
+        shared.trim()
         return pd.DataFrame({"coverage": [b[0] for b in best], "item_id": items, "n_tiled": np.array([b[2] for b in best], dtype=np.int32)})
 
     return run

@@ -139,7 +139,7 @@ def _pieces(docs: DataFrame, longest: int, tokenizer_path: str | None, end_id: i
             first = np.array(first, np.int64)
             yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(first // longest), pa.array(first), pa.array(n, pa.int64()), pa.array(content, pa.binary())], names=["doc_id", "piece", "first", "n_tokens", "content"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{_FIELDS}, content binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(shared.trimmed(run), f"{_FIELDS}, content binary")
 
 
 def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
@@ -189,7 +189,7 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokenizer_path:
         if size:
             yield from flush(held)
 
-    return pieces.mapInArrow(run, f"{_FIELDS}, bin long, bin_length long, place long, {tokens}")
+    return pieces.mapInArrow(shared.trimmed(run), f"{_FIELDS}, bin long, bin_length long, place long, {tokens}")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> np.ndarray:
             x = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = sample.mapInArrow(run, "x array<double>, y int").collect()
+    rows = sample.mapInArrow(shared.trimmed(run), "x array<double>, y int").collect()
     y = np.array([r.y for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return np.zeros(WIDTH + 1)
@@ -87,6 +87,7 @@ def evidence(text: Column, weights: np.ndarray) -> Column:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         x = np.array([features(t) for t in texts]).reshape(-1, WIDTH)
+        shared.trim()
         return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))
 
     return run(text)

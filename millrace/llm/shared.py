@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,39 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+def trim() -> None:
+    """In a worker: gives memory that is no longer used back to the system.
+
+    Workers are kept for later tasks, and what one stage held would else count while the next ones run. Large
+    blocks are mapped by themselves from the first call on, so that they go back at once.
+    """
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL(None)
+            _libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+            _libc.malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _libc = False
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+_libc = None
+
+
+def trimmed(run):
+    """run, a function of batches, with trim() before and after."""
+
+    def go(batches):
+        trim()
+        yield from run(batches)
+        trim()
+
+    return go
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     bound_batches(spark)
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1,
                 columns.append(pa.array(np.frombuffer(b"".join(x or empty for x in own), np.int64)))
             yield pa.record_batch(columns, names=[*keep, *[f"f{j}" for j in range(words)], "n", *([sets] if sets else [])])
 
-    return docs.select(*keep, "text").mapInArrow(run, fields)
+    return docs.select(*keep, "text").mapInArrow(shared.trimmed(run), fields)
 
 
 def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,7 +206,7 @@ def link_close(distinct: DataFrame, radius: int) -> DataFrame:
             elif len(one) and len(two):
                 yield _edge_batch([_links(one, one.view(np.uint64)[:, None], two, two.view(np.uint64)[:, None], radius)])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(shared.trimmed(run), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
@@ -276,7 +276,7 @@ def link_wide(distinct: DataFrame, words: int, radius: int, similarity: float) -
                     far = FOUR_RADIUS if (r["c"], r["d"]) == (four, four + 1) else radius
                     yield _edge_batch([_links(ids, a, ids2, b, far)])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(shared.trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -354,7 +354,7 @@ def link_similar(members: DataFrame, words: int, radius: int, similarity: float)
         if held:
             yield linked(now, held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(shared.trimmed(run), "a long, b long")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
