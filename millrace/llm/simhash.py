@@ -15,6 +15,8 @@ Two ways to find all pairs of distinct fingerprints within a radius, both exact:
   so a class meets itself and its neighbour. All tiles of such classes are compared. ``keep_one`` takes
   these links as candidates only: fingerprints and sizes are then of distinct shingles, and
   ``link_similar`` links a pair once the similarity of its shingle sets is computed.
+  Sets whose least hashes have too few in common with those of all other sets can't be similar to any
+  (an exact bound, see ``start``) and are in no tile.
 
 In both, a band or class with many fingerprints is dealt into tiles by population count, and pairs of tiles
 whose counts differ beyond the radius are not made; within a pair, neither are strips of rows. Each pair of
@@ -81,18 +83,37 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
 TEXTS = 256
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1, sets: str | None = None) -> DataFrame:
-    """The columns keep, f0 .. (the fingerprint's words, as longs), n (the number of shingles), and a set's column.
+#: One in so many of a set's hashes must be common to another set, among those that its start holds.
+PART = 10
 
-    With sets, each shingle counts once: "s" gives the sorted hashes as bytes, "id" a hash of them.
+
+def start(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes of a sorted set, so many that two similar sets have common_least() of these in common.
+
+    The two share similarity times the larger one's size at least. Of what they share, the k-th in order has
+    all but k of that after it, in both sets, and so stands this early in both if k is at most len(h) // PART, or 1.
+    """
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-6) + max(1, len(h) // PART)]
+
+
+def common_least(n, similarity: float):
+    """How many hashes the starts of a set of n and of any similar set, which has similarity * n at least, share."""
+    return F.greatest(F.lit(1), F.floor((similarity * n - 1e-6) / PART))
+
+
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1, sets: str | None = None, similarity: float = 1.0) -> DataFrame:
+    """The columns keep, f0 .. (the fingerprint's words, as longs), n (the number of shingles), and a set's columns.
+
+    With sets, each shingle counts once: "s" gives the sorted hashes as bytes, "id" a hash of them and its start.
     """
-    more = {None: "", "s": ", s binary", "id": ", id long"}[sets]
+    more = {None: "", "s": ", s binary", "id": ", id long, start array<long>"}[sets]
     fields = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(words)] + ["n long"]) + more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             found, n = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int64)
             own = [b""] * batch.num_rows
+            starts = [np.empty(0, np.int64)] * batch.num_rows
             for i, text in enumerate(batch.column(len(keep))):
                 t = text.as_py()
                 if t:
@@ -100,6 +121,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1,
                     if sets:
                         h = np.unique(h)
                         own[i] = h.tobytes() if sets == "s" else xxhash.xxh3_64_digest(h)
+                        starts[i] = start(h, similarity).view(np.int64)
                     found[i], n[i] = fingerprint(h, words), len(h)
             columns = [batch.column(j) for j in range(len(keep))] + [pa.array(found[:, j].copy().view(np.int64)) for j in range(words)] + [pa.array(n)]
             if sets == "s":
@@ -107,11 +129,17 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1,
             elif sets:
                 empty = xxhash.xxh3_64_digest(b"")
                 columns.append(pa.array(np.frombuffer(b"".join(x or empty for x in own), np.int64)))
-            yield pa.record_batch(columns, names=[*keep, *[f"f{j}" for j in range(words)], "n", *([sets] if sets else [])])
+                ends = np.cumsum([0, *map(len, starts)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *starts]))))
+            yield pa.record_batch(columns, names=[*keep, *[f"f{j}" for j in range(words)], "n", *{None: [], "s": ["s"], "id": ["id", "start"]}[sets]])
 
     return docs.select(*keep, "text").mapInArrow(shared.trimmed(run), fields)
 
 
+#: Rows and columns whose distances are computed at once: few enough for a core's cache.
+STRIP = (64, 2048)
+
+
 def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within a tile (b None) or between two, as index pairs into a, or into a and b.
 
@@ -120,27 +148,39 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[
     """
     same = b is None
     b = a if same else b
+    words = a.shape[1]
     pop_a, pop_b = np.bitwise_count(a).sum(1), np.bitwise_count(b).sum(1)
     oa, ob = np.argsort(pop_a, kind="stable"), np.argsort(pop_b, kind="stable")
-    sa, sb, pa_, pb_ = a[oa], b[ob], pop_a[oa].astype(np.int64), pop_b[ob].astype(np.int64)
-    strip = 128
-    for at in range(0, len(sa), strip):
-        rows = slice(at, at + strip)
-        low = np.searchsorted(pb_, pa_[at] - radius)
-        high = np.searchsorted(pb_, pa_[min(at + strip, len(sa)) - 1] + radius, side="right")
+    sa, pa_, pb_ = a[oa], pop_a[oa].astype(np.int64), pop_b[ob].astype(np.int64)
+    sb = np.ascontiguousarray(b[ob].T)
+    # Within a small radius, few pairs are left before the last word, which is computed for these alone.
+    first = words - 1 if radius < 24 * (words - 1) else words
+    block = (min(STRIP[0], len(a)), min(STRIP[1], len(b)))
+    either, bits, apart = np.empty(block, np.uint64), np.empty(block, np.uint8), np.empty(block, np.uint8 if first <= 3 else np.uint16)
+    for at in range(0, len(sa), STRIP[0]):
+        rows = sa[at : at + STRIP[0]]
+        low = int(np.searchsorted(pb_, pa_[at] - radius))
+        high = int(np.searchsorted(pb_, pa_[at + len(rows) - 1] + radius, side="right"))
         if same:
             low = max(low, at)
-        if low >= high:
-            continue
-        apart = np.bitwise_count(sa[rows, 0][:, None] ^ sb[low:high, 0][None])
-        for w in range(1, a.shape[1]):
-            apart = np.add(apart, np.bitwise_count(sa[rows, w][:, None] ^ sb[low:high, w][None]), dtype=np.uint16)
-        i, j = np.nonzero(apart <= radius)
-        i, j = oa[at + i], ob[low + j]
-        if same:
-            i, j = i[i != j], j[i != j]
-        if len(i):
-            yield i, j
+        for to in range(low, high, STRIP[1]):
+            columns = slice(to, min(to + STRIP[1], high))
+            part = (slice(len(rows)), slice(columns.stop - to))
+            x, n, d = either[part], bits[part], apart[part]
+            for w in range(first):
+                np.bitwise_xor(rows[:, w][:, None], sb[w, columns][None], out=x)
+                np.bitwise_count(x, out=n if w else d)
+                if w:
+                    np.add(d, n, out=d)
+            i, j = np.nonzero(d <= radius)
+            if words > first and len(i):
+                near = np.bitwise_count(rows[i] ^ sb[:, to + j].T).sum(1, dtype=np.int64) <= radius
+                i, j = i[near], j[near]
+            i, j = oa[at + i], ob[to + j]
+            if same:
+                i, j = i[i != j], j[i != j]
+            if len(i):
+                yield i, j
 
 
 def _links(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray | None, b: np.ndarray | None, radius: int) -> shared.Forest:
@@ -369,11 +409,18 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     rows = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     f = [f"f{i}" for i in range(WIDE_WORDS)]
     with shared.scope() as tables:
-        prints = fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS, sets="id")
+        prints = fingerprints(rows.select(F.col(row).alias("_row"), "doc_id", "text"), ["_row", "doc_id"], shingle, WIDE_WORDS, sets="id", similarity=similarity)
         prints = shared.written(prints, "fingerprints")
         order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
         distinct = shared.written(prints.groupBy("id", *f, "n").agg(F.min(order).alias("first")), "distinct")
-        near = shared.components(link_wide(distinct.select("id", *f, "n"), WIDE_WORDS, WIDE_RADIUS, similarity))
+        # A set whose start has too little in common with those of all others is similar to none and meets no tile.
+        starts = prints.select("id", "n", F.explode("start").alias("hash"))
+        common = starts.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("hash")
+        common = shared.written(common, "common")
+        shares = starts.join(common.hint("shuffle_hash"), "hash", "left_semi").groupBy("id", "n").count()
+        able = shared.written(shares.filter(F.col("count") >= common_least(F.col("n"), similarity)).select("id"), "able")
+        able = distinct.select("id", *f, "n").join(able, "id", "left_semi")
+        near = shared.components(link_wide(able, WIDE_WORDS, WIDE_RADIUS, similarity))
         near = near.select(F.col("component").alias("c"), F.col("node").alias("id")).join(distinct.select("id", "n", F.col("first._row").alias("_row")), "id")
         near = shared.written(near, "near")
         sizes = near.groupBy("c").agg(F.count("*").alias("count"), F.sum("n").alias("total"))

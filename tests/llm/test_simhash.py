@@ -116,3 +116,46 @@ def test_keep_one_links_by_the_similarity_of_shingle_sets(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert near > 50
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == least
+
+
+def test_tiles_of_several_strips_match_brute_force():
+    rng = np.random.default_rng(5)
+    for words, radius in ((1, 2), (1, 20), (4, 68), (4, 80), (4, 110), (6, 150)):
+        a = rng.integers(0, 2**64, (150, words), dtype=np.uint64)
+        b = rng.integers(0, 2**64, (simhash.STRIP[1] + 300, words), dtype=np.uint64)
+        b[-100:] = a[:100] ^ rng.integers(0, 16, (100, words), dtype=np.uint64)
+        far = np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=int)
+        got = sorted((x, y) for i, j in simhash.compare_tiles(a, b, radius) for x, y in zip(i.tolist(), j.tolist()))
+        assert got == [tuple(p) for p in np.argwhere(far <= radius).tolist()] and got
+        own = np.argwhere(np.triu(np.bitwise_count(b[:, None] ^ b[None, -400:]).sum(2, dtype=int) <= radius, 1 - len(b) + 400)) if words == 1 else []
+        within = {(min(x, y), max(x, y)) for i, j in simhash.compare_tiles(b, None, radius) for x, y in zip(i.tolist(), j.tolist())}
+        assert {(x, y + len(b) - 400) for x, y in own if x < y + len(b) - 400} <= within
+
+
+def test_starts_of_similar_sets_share_enough():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 200, 333]:
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for gone, new in itertools.product(range(0, n // 4 + 1), (0, 1, n // 8, n // 5)):
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+            if simhash.similar(a, b, 0.8):
+                both = len(set(simhash.start(a, 0.8)) & set(simhash.start(b, 0.8)))
+                assert both >= max(max(1, int((0.8 * len(x) - 1e-6) / simhash.PART)) for x in (a, b))
+        assert len(simhash.start(a, 0.8)) <= 0.3 * n + 1
+
+
+def test_only_texts_that_share_much_meet_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, rows = words(20), []
+    for i in range(300):
+        own = words(200)
+        own[50:70] = passage
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, rows[i][1] + " " + " ".join(words(5))) for i in range(10)]
+    met = []
+    wide = simhash.link_wide
+    monkeypatch.setattr(simhash, "link_wide", lambda distinct, *more: (met.append(distinct.count()), wide(distinct, *more))[1])
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(300))
+    assert met == [20]
