@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, metrics, quality, relational, semantic, shared, timetravel, vector
-from ..sources.tables import load
+from ..sources.tables import load, placed
 from . import flow
 
 QUERIES: dict = {}
@@ -278,6 +278,14 @@ def metric_series(spark, sf):
     return metrics.series(e, "day").select("metric", F.col("bucket").cast("string").alias("bucket"), "value")
 
 
+@query()
+def aggregate_bool(spark, sf):
+    # Its text (portable.SQL) leaves open which of a user's highest events is m: the first in the table, as one reader has it.
+    e = placed(spark, sf, "events")
+    first = F.when(F.col("event_id").isNotNull() & F.col("value").isNotNull(), F.struct("value", -F.col("place")))
+    return e.groupBy("user_id").agg(F.bool_and(F.col("value") > 0).alias("a"), F.bool_or(F.col("value") > 90).alias("o"), F.max_by("event_id", first).alias("m"))
+
+
 @query("SELECT l_suppkey, round(avg(l_discount), 6) AS d, avg(l_discount) >= 0.05 AS x, coalesce(NOT avg(l_discount) >= 0.05, false) AS breach, CASE WHEN avg(l_discount) >= 0.05 THEN 'pass' ELSE 'fail' END AS status FROM lineitem GROUP BY l_suppkey")
 def metric_check(spark, sf):
     rows = load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("d"))

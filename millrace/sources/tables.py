@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with place: rows count up in each file and from file to file by path, as one reader meets them."""
+    df = load(spark, sf_dir, name)
+    files = sorted(re.sub("^file:/+", "/", f) for f in df.inputFiles())  # paths of the two sides differ in slashes
+    df = df.select("*", F.col("_metadata.row_index").alias("place"), F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("_file"))
+    if len(files) > 1:
+        numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "_file string, _n long")
+        df = df.join(F.broadcast(numbers), "_file", "left").withColumn("place", F.col("_n") * (1 << 40) + F.col("place")).drop("_n")
+    return df.drop("_file")
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A query over {table} fields; only the tables that it names are opened, and no view outlives it."""
     used = {f for _, f, _, _ in string.Formatter().parse(text) if f}
