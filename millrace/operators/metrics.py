@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -119,6 +120,23 @@ def states(rules: Mapping[str, tuple[str, object]], tables: Mapping[str, DataFra
     return spark.createDataFrame(rows, "rule string, at long, failing boolean"), errors
 
 
+def means_in_order(table: DataFrame, key: str, value: str, place: str, outcomes: Callable[[Column], list[Column]]) -> DataFrame:
+    """(key, mean): where an outcome hangs on a mean's last bits, the sum is the running one in the order of place.
+
+    Sums of parts differ from it by how rows are dealt to tasks, by 2^-52 of the sum of magnitudes at most. Outcomes are
+    steps of the mean that never turn back; only groups whose outcomes differ within twice that bound are read again.
+    """
+    means = table.groupBy(F.col(key).alias("_k")).agg(F.avg(value).alias("_mean"), (F.sum(F.abs(value)) * 2.0**-51).alias("_e"))
+    low, high = (outcomes(F.col("_mean") + sign * F.col("_e")) for sign in (-1, 1))
+    hang = functools.reduce(lambda a, b: a | b, [~a.eqNullSafe(b) for a, b in zip(low, high)])
+    again = means.filter(hang).select("_k")
+    rows = table.join(again, F.col(key).eqNullSafe(F.col("_k")), "left_semi").filter(F.col(value).isNotNull())
+    w = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.withColumn("_s", F.sum(value).over(w)).groupBy(F.col(key).alias("_k2")).agg((F.max_by("_s", place) / F.count("*")).alias("_ordered"))
+    both = means.join(sums, F.col("_k").eqNullSafe(F.col("_k2")), "left")
+    return both.select(F.col("_k").alias(key), F.coalesce("_ordered", "_mean").alias("mean"))
+
+
 def checked(rows: DataFrame, ok: str) -> DataFrame:
     """breach is true only where the condition is false; status is fail wherever it isn't true."""
     c = F.expr(ok)

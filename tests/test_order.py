@@ -37,3 +37,19 @@ def test_rows_of_several_files_are_placed_by_path(spark, tmp_path):
         written(tmp_path / "events.parquet" / f"{name}.parquet", [(i, 1, 5.0) for i in ids])
     assert [r.event_id for r in placed(spark, str(tmp_path), "events").orderBy("place").collect()] == [6, 5, 1, 8, 4]
     assert catalog.QUERIES["aggregate_bool"](spark, str(tmp_path)).first().m == 6
+
+
+def test_a_mean_at_its_threshold_is_summed_in_the_order_of_the_table(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").mkdir()
+    parts = [(1, [0.05] * 5), (None, [0.05] * 5), (2, [0.01, None]), (3, [None]), (4, [float("nan")]), (5, [0.0499995])]
+    for name in ("a", "b"):  # 0.05 is added up to less than 0.5 in one sum of ten, to 0.5 in two of five
+        rows = [(k, x) for k, xs in parts for x in xs]
+        table = pa.table({"l_suppkey": pa.array([k for k, _ in rows], pa.int64()), "l_discount": pa.array([x for _, x in rows], pa.float64())})
+        pq.write_table(table, tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute("SELECT l_suppkey, d, breach, status, x FROM (" + catalog.ORACLE["metric_check"] + ")").fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["metric_check"](spark, str(tmp_path)).select("l_suppkey", "d", "breach", "status", "x").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert (1, 0.05, True, "fail", False) in got and (None, 0.05, True, "fail", False) in got
