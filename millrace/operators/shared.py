@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Large rows pass to Python in batches of 8 MB (one row at least), unless the session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed in spark.checkpoint.dir; a folder of its own only where that is unset and mode local."""
     context = df.sparkSession.sparkContext

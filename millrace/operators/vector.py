@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions.text import cosine, cosine_to
 from . import shared
 
 TILE = 4096
+#: Rows of a tile that meet another tile at once: cosines take 8 MB however many rows a table has.
+STRIP = 256
 
 
 def knn(table: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -46,6 +49,7 @@ def _tiles(table: DataFrame) -> DataFrame:
 
     angle is the largest from the centre to a row, pi where a row is zero; a cell with many rows is several tiles.
     """
+    shared.bound_batches(table.sparkSession)
     table = table.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     pivots = _unit([r.v for r in table.limit(min(PIVOTS, -(-table.count() // TILE))).collect()])
 
@@ -93,25 +97,37 @@ def _met(left: DataFrame, right: DataFrame | None, run, schema: str, keep) -> Da
     met = pairs.join(one, "t").repartition(n, "u").join(two, "u").select("ids", "x", "ids2", "x2")
 
     def go(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                yield run(_opened(r.ids, r.x), _opened(r.ids2, r.x2))
+        for batch in batches:
+            for ids, x, ids2, x2 in _buffers(batch):
+                yield pa.RecordBatch.from_pandas(run(_opened(ids, x), _opened(ids2, x2)), preserve_index=False)
 
-    return met.mapInPandas(go, schema)
+    return met.mapInArrow(go, schema)
 
 
 def _alone(tiles: DataFrame, run, schema: str) -> DataFrame:
     """run(a, None) over each tile."""
 
     def go(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                yield run(_opened(r.ids, r.x), None)
+        for batch in batches:
+            for ids, x in _buffers(batch):
+                yield pa.RecordBatch.from_pandas(run(_opened(ids, x), None), preserve_index=False)
+
+    return tiles.select("ids", "x").mapInArrow(go, schema)
+
+
+def _buffers(batch: pa.RecordBatch):
+    """The binaries of each row, not copied."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_buffer() for c in batch.columns]
+
 
-    return tiles.select("ids", "x").mapInPandas(go, schema)
+def _strips(x: np.ndarray, y: np.ndarray):
+    """(start, cosines to all of y) of STRIP rows of x at a time."""
+    for start in range(0, len(x), STRIP):
+        yield start, x[start : start + STRIP] @ y.T
 
 
-def _opened(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _opened(ids: bytes | pa.Buffer, x: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
     return i, np.frombuffer(x, float).reshape(len(i), -1)
 
@@ -162,16 +178,18 @@ def similar_groups(table: DataFrame, threshold: float) -> DataFrame:
 
     def run(a, b):
         ids = a[0] if b is None else np.concatenate([a[0], b[0]])
-        i, j = np.nonzero((a[1] @ (a[1] if b is None else b[1]).T) >= threshold)
-        j = j if b is None else j + len(a[0])
         label = np.arange(len(ids))
-        while True:
-            low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-            if (low == high).all():
-                break
-            np.minimum.at(label, high, low)
-            while (label[label] != label).any():
-                label = label[label]
+        for start, s in _strips(a[1], a[1] if b is None else b[1]):
+            i, j = np.nonzero(s >= threshold)
+            i, j = i + start, j if b is None else j + len(a[0])
+            while True:
+                apart = label[i] != label[j]
+                if not apart.any():
+                    break
+                i, j = i[apart], j[apart]
+                np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+                while (label[label] != label).any():
+                    label = label[label]
         own = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[own], "b": ids[label[own]]})
 
