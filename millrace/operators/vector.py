@@ -140,12 +140,15 @@ def isolation(table: DataFrame) -> DataFrame:
 
     def run(a, b):
         ids, x = a
+        own, other = np.empty(len(ids)), np.full(len(ids if b is None else b[0]), -np.inf)
+        for start, s in _strips(x, x if b is None else b[1]):
+            if b is None:
+                np.fill_diagonal(s[:, start:], -np.inf)
+            own[start : start + len(s)] = s.max(1)
+            np.maximum(other, s.max(0), out=other)
         if b is None:
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            return pd.DataFrame({"id": ids, "s": s.max(1)})
-        s = x @ b[1].T
-        return pd.DataFrame({"id": np.concatenate([ids, b[0]]), "s": np.concatenate([s.max(1), s.max(0)])})
+            return pd.DataFrame({"id": ids, "s": own})
+        return pd.DataFrame({"id": np.concatenate([ids, b[0]]), "s": np.concatenate([own, other])})
 
     def least(batches):
         for pdf in batches:
@@ -164,7 +167,7 @@ def novelty(left: DataFrame, right: DataFrame) -> DataFrame:
     """id, novelty of left: 1 less the highest cosine to right, 1 if right is empty."""
 
     def run(a, b):
-        return pd.DataFrame({"id": a[0], "s": (a[1] @ b[1].T).max(1)})
+        return pd.DataFrame({"id": a[0], "s": np.concatenate([s.max(1) for _, s in _strips(a[1], b[1])])})
 
     best = _met(_tiles(left), _tiles(right), run, "id long, s double", lambda bound: F.lit(True)).groupBy("id").agg(F.max("s").alias("s"))
     return left.select("id").join(best, "id", "left").select("id", F.coalesce(1 - F.col("s"), F.lit(1.0)).alias("novelty"))

@@ -35,7 +35,7 @@ def runs(monkeypatch):
 def test_tiles_meet_in_strips(spark, runs):
     rng = np.random.default_rng(0)
     a, b = ((np.arange(n, n + 4096), vector._unit(rng.normal(size=(4096, 8)))) for n in (0, 4096))
-    for run in runs(spark)[2:]:
+    for run in runs(spark):
         tracemalloc.start()
         run(a, b)
         peak = tracemalloc.get_traced_memory()[1]
